@@ -46,10 +46,10 @@ def _statistics(
     return [found[name].alias(f"{metric}__{name}") for name in STATISTICS]
 
 
-def _fixed_point(scales: dict[str, int]) -> list[Column]:
+def _fixed_point(scales: dict[str, int], metrics=METRICS) -> list[Column]:
     return [
         F.round(F.col(m) * scales[m]).cast("bigint").alias(m) if m in scales else F.col(m)
-        for m in METRICS
+        for m in metrics
     ]
 
 
@@ -60,55 +60,104 @@ def window_features(
     coverage_start=None,
     entity=ENTITY,
     scales: dict[str, int] | None = None,
-    carry: tuple[str, ...] = (),
+    metrics: tuple[str, ...] = METRICS,
 ) -> DataFrame:
-    """49 statistics over ``(t-W, t]``; a window with a gap gives no row and is never filled.
+    """Seven statistics per metric (49 in all) over ``(t-W, t]``.
 
-    All frames are ranges over the step number inside time chunks and share one Window operator.
-    ``scales`` (metric -> fixed-point factor) makes the sums exact; ``points`` squared times the
-    largest scaled value squared must fit a bigint. Telemetry keys must be unique.
+    A window with a gap gives no row and is never filled. All frames are ranges over time inside
+    chunks and share one Window operator. ``scales`` (metric -> fixed-point factor) makes the sums
+    exact; ``points`` squared times the largest scaled value squared must fit a bigint. Telemetry
+    keys must be unique.
     """
-    scales = scales or {}
-    points = grid.window_points
+    rows = _elapsed_rows(telemetry, grid, coverage_start, None, entity, scales or {}, metrics)
+    line = with_halo(rows, "_at", grid.chunk_us, before=(grid.window_points - 1) * grid.step_us)
+    columns, full = _window_columns(grid, entity, scales or {}, metrics)
+    return (
+        line.select(*entity, "timestamp", (F.col(OWN) & full).alias("_keep"), *columns)
+        .where("_keep")
+        .drop("_keep")
+    )
+
+
+def labelled_features(
+    telemetry: DataFrame,
+    incidents: DataFrame,
+    grid: Grid,
+    *,
+    coverage_start=None,
+    coverage_end,
+    entity=ENTITY,
+    scales: dict[str, int] | None = None,
+    metrics: tuple[str, ...] = METRICS,
+) -> DataFrame:
+    """Eligible feature rows with their target, in one shuffle of the telemetry.
+
+    Gives what ``attach_targets(window_features(...), future_labels(...))`` gives. Telemetry and
+    onsets share one chunked timeline: backward frames build the features, a forward frame looks
+    for onsets, and no key join is needed.
+    """
+    rows = _elapsed_rows(telemetry, grid, coverage_start, coverage_end, entity, scales or {}, metrics)
+    onsets = incidents.select(*entity, grid.us("incident_start").alias("_at"), F.lit(1).alias("_onset"))
+    line = with_halo(
+        rows.withColumn("_onset", F.lit(0)),
+        "_at",
+        grid.chunk_us,
+        before=(grid.window_points - 1) * grid.step_us,
+    ).unionByName(
+        with_halo(onsets, "_at", grid.chunk_us, after=grid.horizon_us), allowMissingColumns=True
+    )
+    ahead = chunk_window(list(entity), "_at").rangeBetween(1, grid.horizon_us)
+    columns, full = _window_columns(grid, entity, scales or {}, metrics)
+    known = F.col("_at") + grid.horizon_us < F.col("_end")
+    target = F.coalesce(F.max("_onset").over(ahead), F.lit(0)).cast("bigint")
+    keep = F.col(OWN) & (F.col("_onset") == 0) & known & full
+    return (
+        line.select(*entity, "timestamp", keep.alias("_keep"), *columns, target.alias(TARGET))
+        .where("_keep")
+        .drop("_keep")
+    )
+
+
+def _elapsed_rows(telemetry, grid, coverage_start, coverage_end, entity, scales, metrics):
+    """On-grid telemetry with its offset from the origin and from the start of coverage."""
     start = F.lit(0) if coverage_start is None else _offset(grid, coverage_start)
-    rows = telemetry.select(
+    end = [] if coverage_end is None else [_offset(grid, coverage_end).alias("_end")]
+    at = grid.us("timestamp")
+    return telemetry.select(
         *entity,
         "timestamp",
-        *carry,
-        (grid.us("timestamp") - start).alias("_elapsed"),
-        *_fixed_point(scales),
-    )
-    rows = rows.where(F.pmod("_elapsed", F.lit(grid.step_us)) == 0).withColumn(
-        "_step", floor_div(F.col("_elapsed"), grid.step_us)
-    )
-    line = with_halo(rows, "_step", grid.chunk_points, before=points - 1)
-    frame = chunk_window(list(entity), "_step").rangeBetween(-(points - 1), 0)
+        at.alias("_at"),
+        (at - start).cast("bigint").alias("_elapsed"),
+        *end,
+        *_fixed_point(scales, metrics),
+    ).where(F.pmod("_elapsed", F.lit(grid.step_us)) == 0)
+
+
+def _window_columns(grid, entity, scales, metrics) -> tuple[list[Column], Column]:
+    """Statistics and the completeness test over backward frames of a chunked timeline.
+
+    Rows of other kinds may lie on the same timeline; their metrics are null, and every aggregate
+    skips nulls.
+    """
+    points = grid.window_points
+    frame = chunk_window(list(entity), "_at").rangeBetween(-(points - 1) * grid.step_us, 0)
 
     def over(column):
         return column.over(frame)
 
-    # Positions count from the start of the chunk, which keeps moments small.
-    line = line.withColumn("_position", F.col("_step") - F.col(CHUNK) * grid.chunk_points)
+    # Positions count from the start of the chunk, which keeps moments small. Coverage starts on
+    # the grid's own points shifted by less than a step at most, so the division is exact there.
+    shift = F.pmod(F.col("_at") - F.col("_elapsed"), F.lit(grid.step_us))
+    position = floor_div(F.col("_at") - shift, grid.step_us) - F.col(CHUNK) * grid.chunk_points
     columns = []
-    for metric in METRICS:
-        value, position = F.col(metric), F.col("_position")
+    for metric in metrics:
+        value = F.col(metric)
         total, moments = over(F.sum(value)), over(F.sum(position * value))
         centred = 2 * moments - (2 * position - (points - 1)) * total
-        columns += _statistics(
-            metric, points, scales.get(metric), value, over(F.first(value)), centred, over
-        )
-    full = over(F.count(F.lit(1))) == points
-    return (
-        line.select(
-            *entity,
-            "timestamp",
-            *carry,
-            (F.col(OWN) & full & (F.col("_elapsed") >= grid.window_us)).alias("_keep"),
-            *columns,
-        )
-        .where("_keep")
-        .drop("_keep")
-    )
+        oldest = over(F.first(value, ignorenulls=True))
+        columns += _statistics(metric, points, scales.get(metric), value, oldest, centred, over)
+    full = (over(F.count("_elapsed")) == points) & (F.col("_elapsed") >= grid.window_us)
+    return columns, full
 
 
 def point_in_time_features(

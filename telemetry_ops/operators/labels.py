@@ -68,21 +68,18 @@ def future_labels(
     coverage_start=None,
     coverage_end,
     entity=ENTITY,
-    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Labels per telemetry row: does any onset fall in ``(t, t+H]``?
 
     Null when ``t + H`` reaches the end of coverage. Onsets may lie off the grid. Telemetry keys
     must be unique. History and label come from one shuffle: telemetry rows and onsets share the
     chunked timeline, and two range frames over it count the past rows and the coming onsets.
-    ``carry`` names further telemetry columns to keep.
     """
     start = F.lit(0) if coverage_start is None else _offset(grid, coverage_start)
     end = _offset(grid, coverage_end)
     rows = telemetry.select(
         *entity,
         "timestamp",
-        *[c for c in carry if c not in (*entity, "timestamp")],
         grid.us("timestamp").alias("_us"),
         start.cast("bigint").alias("_start"),
         end.cast("bigint").alias("_end"),
@@ -107,14 +104,37 @@ def future_labels(
         .select(
             *entity,
             "timestamp",
-            *[c for c in carry if c not in (*entity, "timestamp")],
-            (F.col("_full") & _spans_window(grid, F.col("_start"))).alias("history_complete"),
+                (F.col("_full") & _spans_window(grid, F.col("_start"))).alias("history_complete"),
             known.alias("horizon_complete"),
             F.when(known, F.coalesce(F.col("_next"), F.lit(0))).cast("bigint").alias(TARGET),
         )
     )
 
 
+def starts_ahead(points: DataFrame, onsets: DataFrame, grid: Grid, entity=ENTITY) -> DataFrame:
+    """Adds ``starts_ahead`` to any points in time: does an onset fall in ``(t, t+H]``?
+
+    ``onsets`` has the entity columns and ``start``.
+    """
+    line = with_halo(
+        points.withColumn("_us", grid.us("timestamp")).withColumn("_onset", F.lit(0)), "_us", grid.chunk_us
+    ).unionByName(
+        with_halo(
+            onsets.select(*entity, grid.us("start").alias("_us"), F.lit(1).alias("_onset")),
+            "_us",
+            grid.chunk_us,
+            after=grid.horizon_us,
+        ),
+        allowMissingColumns=True,
+    )
+    ahead = chunk_window(list(entity), "_us").rangeBetween(1, grid.horizon_us)
+    return (
+        line.withColumn("starts_ahead", F.coalesce(F.max("_onset").over(ahead), F.lit(0)) == 1)
+        .where(F.col(OWN) & (F.col("_onset") == 0))
+        .drop("_us", "_onset", OWN, CHUNK)
+    )
+
+
 def outside_coverage(telemetry: DataFrame, grid: Grid, coverage_start, coverage_end) -> DataFrame:
     """Telemetry rows outside the half-open coverage; labels are undefined when there are any."""
     us = grid.us("timestamp")

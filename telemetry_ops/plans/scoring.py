@@ -25,7 +25,7 @@ def rounded(df, *names, digits=9):
        FROM modelling_rows""",
 )
 def prevalence_score(t):
-    rows = t.modelling_rows.select(
+    rows = t.rule_rows.select(
         "run_id", "service_id", "timestamp", "partition", F.col(TARGET).alias("target")
     )
     return rounded(
@@ -56,7 +56,7 @@ def decision(t):
 )
 def candidate_scores(t):
     keys = ["run_id", "service_id", "timestamp"]
-    wide = t.run_features.select(
+    wide = t.error_features.select(
         *keys, *[F.col(f"error_rate__{s}").alias(s) for s in ("current", "max", "mean")]
     )
     return scores.stack_candidates(wide, keys, ["current", "max", "mean"])
@@ -358,7 +358,7 @@ def bootstrap_ci(t):
          min(timestamp) AS first, max(timestamp) AS last FROM modelling_rows GROUP BY ALL""",
 )
 def split_counts(t):
-    return t.modelling_rows.groupBy("run_id", "partition").agg(
+    return t.rule_rows.groupBy("run_id", "partition").agg(
         F.count(F.lit(1)).alias("rows"),
         F.sum(TARGET).alias("positives"),
         F.min("timestamp").alias("first"),

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from telemetry_ops.functions.session import use_utc
 from telemetry_ops.grid import METRICS, TARGET, Grid
-from telemetry_ops.operators.features import attach_targets, window_features
+from telemetry_ops.operators.features import labelled_features, window_features
 from telemetry_ops.operators.labels import future_labels
 from telemetry_ops.operators.partitions import assign_partitions
+from telemetry_ops.operators.snapshots import utc_text
 from telemetry_ops.sources.events import (
     incidents_from_telemetry,
     service_of,
@@ -38,6 +39,7 @@ STAGES = [
 ]
 RUN_STEPS = 240
 THRESHOLD = 0.4
+MODEL_THRESHOLDS = {"current": 0.5, "max": 0.8, "mean": 0.25}
 CUTOFF = datetime(2024, 1, 29)
 
 
@@ -111,32 +113,38 @@ class Tables:
         return self._with_run(self.incidents, "incident_start")
 
     @cached_property
-    def run_features(self) -> DataFrame:
+    def error_features(self) -> DataFrame:
+        """The error-rate features only, which is all the rule scores need."""
         return window_features(
             self.run_telemetry,
             self.grid,
             coverage_start="run_start",
             entity=("run_id", "service_id"),
             scales=SCALES,
+            metrics=("error_rate",),
         )
 
-    @cached_property
-    def run_labels(self) -> DataFrame:
-        return future_labels(
+    def _training_rows(self, metrics) -> DataFrame:
+        rows = labelled_features(
             self.run_telemetry,
             self.run_incidents,
             self.grid,
             coverage_start="run_start",
             coverage_end="run_end",
             entity=("run_id", "service_id"),
+            scales=SCALES,
+            metrics=metrics,
         )
+        return assign_partitions(rows, self.runs, self.grid, STAGES)
 
     @cached_property
     def modelling_rows(self) -> DataFrame:
-        rows = attach_targets(
-            self.run_features, self.run_labels, ("run_id", "service_id", "timestamp")
-        )
-        return assign_partitions(rows, self.runs, self.grid, STAGES)
+        return self._training_rows(METRICS)
+
+    @cached_property
+    def rule_rows(self) -> DataFrame:
+        """Modelling rows with the error-rate features only, which the rule scores read."""
+        return self._training_rows(("error_rate",))
 
     @cached_property
     def predictions(self) -> DataFrame:
@@ -154,7 +162,7 @@ class Tables:
                 )
             ]
         )
-        return self.modelling_rows.where(F.col("partition") != "purged").select(
+        return self.rule_rows.where(F.col("partition") != "purged").select(
             "run_id",
             "service_id",
             "timestamp",
@@ -163,6 +171,124 @@ class Tables:
             F.inline(scores),
         )
 
+    # Stored tables of the serving side: models, predictions, outcomes and snapshots.
+    @cached_property
+    def models(self) -> DataFrame:
+        rows = F.array(
+            *[
+                F.struct(
+                    F.lit(f"model-{name}").alias("model_id"),
+                    F.lit(f"rule {name}").alias("model_name"),
+                    F.lit("1.0").alias("feature_version"),
+                    F.lit(threshold).alias("threshold"),
+                )
+                for name, threshold in MODEL_THRESHOLDS.items()
+            ]
+        )
+        return self.spark.range(1).select(F.inline(rows))
+
+    @cached_property
+    def stored_predictions(self) -> DataFrame:
+        rows = window_features(self.telemetry, self.grid, scales=SCALES, metrics=("error_rate",))
+        scores = F.array(
+            *[
+                F.struct(F.lit(f"model-{n}").alias("model_id"), F.col(f"error_rate__{n}").alias("probability"))
+                for n in MODEL_THRESHOLDS
+            ]
+        )
+        step = self.grid.step("timestamp")
+        available = self.grid.time(step + 2)
+        delay = F.pmod(step, F.lit(97)).cast("bigint")
+        return rows.select("service_id", "timestamp", F.inline(scores)).select(
+            F.concat_ws("-", "service_id", step.cast("string"), "model_id").alias("id"),
+            "service_id",
+            "timestamp",
+            "model_id",
+            available.alias("available_as_of"),
+            F.timestamp_add("MINUTE", delay, available).alias("produced_at"),
+            "probability",
+        )
+
+    @cached_property
+    def incident_starts(self) -> DataFrame:
+        step = self.grid.step("incident_start")
+        return self.incidents.select(
+            F.col("incident_id").alias("source_id"),
+            "service_id",
+            F.col("incident_start").alias("start"),
+            self.grid.time(step + F.pmod(step, F.lit(5)) + 1).alias("recorded_at"),
+        )
+
+    @cached_property
+    def certificates(self) -> DataFrame:
+        """Daily certificates ``(d, d+1]`` with days missing, and some that overlap two days."""
+        number = F.regexp_extract("service_id", "([0-9]+)$", 1).cast("bigint")
+        days = self.services.select(
+            "service_id",
+            number.alias("_number"),
+            F.explode(F.sequence(F.lit(0), F.lit(29)).cast("array<bigint>")).alias("_day"),
+        )
+        daily = days.where((F.col("_day") + F.col("_number")) % 5 != 0).select(
+            F.concat_ws("-", "service_id", F.lit("day"), "_day").alias("source_id"),
+            "service_id",
+            (F.col("_day") * 24).alias("_from"),
+        )
+        shifted = days.where((F.col("_day") + F.col("_number")) % 7 == 3).select(
+            F.concat_ws("-", "service_id", F.lit("noon"), "_day").alias("source_id"),
+            "service_id",
+            (F.col("_day") * 24 + 12).alias("_from"),
+        )
+        at = F.col("_from")
+        return daily.unionByName(shifted).select(
+            "source_id",
+            "service_id",
+            self.grid.time(at).alias("start"),
+            self.grid.time(at + 24).alias("end"),
+            self.grid.time(at + 30).alias("recorded_at"),
+        )
+
+    @cached_property
+    def snapshots(self) -> DataFrame:
+        """One drift and one delayed snapshot per day and model, with a status from its scores."""
+        day = F.call_function("div", self.grid.step("timestamp"), F.lit(24))
+        high = F.try_divide(F.count_if(F.col("probability") >= 0.5), F.count(F.lit(1)))
+        return (
+            self.stored_predictions.groupBy("model_id", day.alias("_day"))
+            .agg(F.count(F.lit(1)).alias("samples"), high.alias("_high"))
+            .select(
+                F.explode(F.array(F.lit("drift"), F.lit("delayed"))).alias("kind"),
+                self.grid.time(F.col("_day") * 24).alias("start"),
+                self.grid.time(F.col("_day") * 24 + 24).alias("end"),
+                self.grid.time(F.col("_day") * 24 + 30).alias("cutoff"),
+                "model_id",
+                F.lit("reference-1").alias("reference_id"),
+                "samples",
+                F.when(F.col("samples") < 30, "insufficient")
+                .when(F.col("_high") >= 0.25, "severe")
+                .when(F.col("_high") >= 0.1, "warning")
+                .otherwise("stable")
+                .alias("status"),
+            )
+            .withColumn("_start", utc_text("start"))
+            .withColumn("_end", utc_text("end"))
+            .withColumn("_cutoff", utc_text("cutoff"))
+            .withColumn("id", identity_of_snapshot())
+            .drop("_start", "_end", "_cutoff")
+        )
+
+
+def identity_of_snapshot():
+    """Identity over the kind, the interval, the UTC cutoff, the model and the reference."""
+    body = F.struct(
+        F.col("_cutoff").alias("cutoff"),
+        F.col("_end").alias("end"),
+        "kind",
+        "model_id",
+        "reference_id",
+        F.col("_start").alias("start"),
+    )
+    return F.sha2(F.to_json(body), 256)
+
 
 _HOUR = "3600000000"
 _US = "1704067200000000"
@@ -232,6 +358,8 @@ def _stage_case() -> str:
     )
 
 
+_TEXT = "strftime({}, '%Y-%m-%dT%H:%M:%S') || '+00:00'"
+
 CTES: dict[str, str] = {
     "telemetry": f"""
       SELECT service_id, TIMESTAMP '2024-01-01' + to_hours(step) AS timestamp, step,
@@ -272,6 +400,10 @@ CTES: dict[str, str] = {
     "labelled": _labels_cte("telemetry", "incidents", "service_id", "step", 720),
     "features": _features_cte("telemetry", "service_id", "step"),
     "features_any_start": _features_cte("telemetry", "service_id", "step", 0),
+    "known_telemetry": """
+      SELECT * FROM telemetry WHERE timestamp > TIMESTAMP '2024-01-20 09:00:00'
+        AND ingested_at <= TIMESTAMP '2024-01-31'""",
+    "known_features": _features_cte("known_telemetry", "service_id", "step", 0),
     "runs": f"""
       SELECT 'run-' || r AS run_id,
         CASE WHEN r = 2 THEN 'heldout_run' ELSE 'development' END AS "group",
@@ -300,12 +432,56 @@ CTES: dict[str, str] = {
         unnest([error_rate__current, error_rate__max, error_rate__mean,
                 round(1.0 / (1.0 + exp(2.0 - 4.0 * error_rate__mean)), 6)]) AS probability
       FROM modelling_rows WHERE partition <> 'purged'""",
+    "models": "SELECT * FROM (VALUES "
+    + ", ".join(
+        f"('model-{n}', 'rule {n}', '1.0', {x}::DOUBLE)" for n, x in MODEL_THRESHOLDS.items()
+    )
+    + ") AS m(model_id, model_name, feature_version, threshold)",
+    "stored_predictions": """
+      SELECT service_id || '-' || h || '-' || model_id AS id, service_id, timestamp, model_id,
+        timestamp + INTERVAL 2 HOUR AS available_as_of,
+        timestamp + INTERVAL 2 HOUR + to_minutes(h % 97) AS produced_at, probability
+      FROM (SELECT service_id, timestamp, date_diff('hour', TIMESTAMP '2024-01-01', timestamp) AS h,
+              unnest(['model-current', 'model-max', 'model-mean']) AS model_id,
+              unnest([error_rate__current, error_rate__max, error_rate__mean]) AS probability
+            FROM features)""",
+    "incident_starts": """
+      SELECT incident_id AS source_id, service_id, incident_start AS "start",
+        incident_start + to_hours(date_diff('hour', TIMESTAMP '2024-01-01', incident_start) % 5 + 1)
+          AS recorded_at FROM incidents""",
+    "certificates": """
+      SELECT source_id, service_id, TIMESTAMP '2024-01-01' + to_hours(h) AS "start",
+        TIMESTAMP '2024-01-01' + to_hours(h + 24) AS "end",
+        TIMESTAMP '2024-01-01' + to_hours(h + 30) AS recorded_at
+      FROM (
+        SELECT service_id || '-day-' || d AS source_id, service_id, d * 24 AS h
+        FROM services CROSS JOIN range(30) AS x(d)
+        WHERE (d + CAST(replace(service_id, 'svc-', '') AS BIGINT)) % 5 <> 0
+        UNION ALL
+        SELECT service_id || '-noon-' || d, service_id, d * 24 + 12
+        FROM services CROSS JOIN range(30) AS x(d)
+        WHERE (d + CAST(replace(service_id, 'svc-', '') AS BIGINT)) % 7 = 3)""",
+    "snapshots": f"""
+      SELECT *, sha256('{{"cutoff":"' || {_TEXT.format("cutoff")} || '","end":"' || {_TEXT.format('"end"')}
+          || '","kind":"' || kind || '","model_id":"' || model_id || '","reference_id":"'
+          || reference_id || '","start":"' || {_TEXT.format('"start"')} || '"}}') AS id
+      FROM (
+        SELECT unnest(['drift', 'delayed']) AS kind,
+          TIMESTAMP '2024-01-01' + to_hours(d * 24) AS "start",
+          TIMESTAMP '2024-01-01' + to_hours(d * 24 + 24) AS "end",
+          TIMESTAMP '2024-01-01' + to_hours(d * 24 + 30) AS cutoff,
+          model_id, 'reference-1' AS reference_id, samples,
+          CASE WHEN samples < 30 THEN 'insufficient' WHEN high >= 0.25 THEN 'severe'
+               WHEN high >= 0.1 THEN 'warning' ELSE 'stable' END AS status
+        FROM (SELECT model_id, date_diff('hour', TIMESTAMP '2024-01-01', timestamp) // 24 AS d,
+                count(*) AS samples,
+                count(*) FILTER (probability >= 0.5) / count(*)::DOUBLE AS high
+              FROM stored_predictions GROUP BY ALL))""",
 }
 
 
 def training_rows(tables: Tables, coverage_end: datetime) -> DataFrame:
     """Features joined with their labels, eligible rows only."""
-    grid = tables.grid
-    rows = window_features(tables.telemetry, grid, scales=SCALES)
-    labels = future_labels(tables.telemetry, tables.incidents, grid, coverage_end=coverage_end)
-    return attach_targets(rows, labels)
+    return labelled_features(
+        tables.telemetry, tables.incidents, tables.grid, coverage_end=coverage_end, scales=SCALES
+    )

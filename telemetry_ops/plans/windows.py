@@ -75,7 +75,7 @@ def attach_targets(t):
     "SELECT run_id, service_id, timestamp, incident_within_horizon, partition FROM modelling_rows",
 )
 def assign_partitions(t):
-    return t.modelling_rows.select("run_id", "service_id", "timestamp", TARGET, "partition")
+    return t.rule_rows.select("run_id", "service_id", "timestamp", TARGET, "partition")
 
 
 @query(
