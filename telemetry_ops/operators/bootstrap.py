@@ -7,12 +7,15 @@ replicate. What precedes a bucket enters as one total per replicate.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 4096
+BLOCK_CELLS = 4_000_000
 
 
 def replicate_weights(seed: int, replicate: int, runs: int) -> np.ndarray:
@@ -21,6 +24,7 @@ def replicate_weights(seed: int, replicate: int, runs: int) -> np.ndarray:
     return np.bincount(draws, minlength=runs)
 
 
+@lru_cache(maxsize=16)
 def _weights(seed: int, repeats: int, runs: int) -> np.ndarray:
     return np.stack([replicate_weights(seed, r, runs) for r in range(repeats)])
 
@@ -75,15 +79,19 @@ def grouped_uncertainty(
         rows = rows.sort_values("probability", ascending=False)
         # One column of sums per distinct score; rows of one score share the curve point.
         edges = np.flatnonzero(np.r_[True, np.diff(rows["probability"].to_numpy()) != 0])
-        out = np.zeros(repeats)
-        positives = np.zeros(repeats)
-        for r in range(repeats):
-            drawn = weights[r][rows["_run"].to_numpy()]
-            n = np.add.reduceat(drawn * rows["n"].to_numpy(), edges)
-            pos = np.add.reduceat(drawn * rows["pos"].to_numpy(), edges)
-            cum_n, cum_p = n0[r] + np.cumsum(n), p0[r] + np.cumsum(pos)
-            out[r] = np.sum(np.where(pos > 0, pos * cum_p / np.maximum(cum_n, 1), 0.0))
-            positives[r] = pos.sum()
+        n, pos = rows["n"].to_numpy(), rows["pos"].to_numpy()
+        out, positives = np.zeros(repeats), np.zeros(repeats)
+        # A block of replicates at a time bounds the memory of the weight matrix.
+        block = max(1, BLOCK_CELLS // max(len(rows), 1))
+        for first in range(0, repeats, block):
+            part = slice(first, min(first + block, repeats))
+            drawn = weights[part][:, rows["_run"].to_numpy()]
+            step_n = np.add.reduceat(drawn * n, edges, axis=1)
+            step_p = np.add.reduceat(drawn * pos, edges, axis=1)
+            cum_n = n0[part, None] + np.cumsum(step_n, axis=1)
+            cum_p = p0[part, None] + np.cumsum(step_p, axis=1)
+            out[part] = np.sum(step_p * cum_p / np.maximum(cum_n, 1), axis=1)
+            positives[part] = step_p.sum(axis=1)
         frame = pd.DataFrame({"replicate": np.arange(repeats), "area": out, "positives": positives})
         for name, value in zip(by, key):
             frame[name] = value
@@ -97,7 +105,8 @@ def grouped_uncertainty(
     pieces = (
         counts.select(*keys, "_run", "probability", "n", "pos")
         .groupBy(*keys)
-        .cogroup(before.groupBy(*keys))
+        # Fresh column identities: both sides descend from the same table.
+        .cogroup(before.select(*[F.col(c).alias(c) for c in before.columns]).groupBy(*keys))
         .applyInPandas(lambda key, a, b: areas(key, a, b), schema)
     )
     precision = pieces.groupBy(*by, "replicate").agg(

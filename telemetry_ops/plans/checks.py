@@ -231,7 +231,7 @@ def dq_constraints(t):
 def dq_incidents(t):
     """Two supported types and a coverage that starts a day late, so rules do fire."""
     return quality.incident_violations(
-        t.incidents,
+        t.truth,
         t.services,
         t.grid,
         coverage_start=ntz(datetime(2024, 1, 2)),
@@ -263,7 +263,7 @@ def dq_incidents(t):
 def dq_labels(t):
     """Labels built with a shorter horizon and without the first hours, audited."""
     shorter = Grid(ORIGIN, 3600, 15 * 3600, 9 * 3600)
-    own = future_labels(t.telemetry, t.incidents, shorter, coverage_end=COVERAGE_END)
+    own = future_labels(t.rollup, t.truth, shorter, coverage_end=COVERAGE_END)
     own = own.where(F.col("timestamp") >= ntz(datetime(2024, 1, 1, 5)))
     return quality.label_violations(own, t.labels)
 

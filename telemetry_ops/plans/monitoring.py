@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from telemetry_ops.functions.session import stage
 from telemetry_ops.grid import FEATURES
 from telemetry_ops.operators import drift, outcomes, snapshots
 from telemetry_ops.plans.registry import query
@@ -155,7 +156,7 @@ def drift_snapshot(t):
     predictions = t.stored_predictions.where("model_id = 'model-mean'")
     return rounded(
         snapshots.drift_snapshot(
-            t.telemetry, predictions, _reference(t), t.grid, START, END, END, CONFIG, SCALES
+            t.rollup, predictions, _reference(t), t.grid, START, END, END, CONFIG, SCALES
         ),
         "psi",
     )
@@ -295,13 +296,9 @@ def _delayed_metrics_sql() -> str:
 
 @query("delayed_metrics", _delayed_metrics_sql())
 def delayed_metrics(t):
-    labelled = outcomes.delayed_labels(
-        t.stored_predictions.where("model_id = 'model-mean'"),
-        t.incident_starts,
-        t.certificates,
-        t.grid,
-        CUTOFF,
-    )
+    one_model = t.stored_predictions.where("model_id = 'model-mean'")
+    labelled = outcomes.delayed_labels(one_model, t.incident_starts, t.certificates, t.grid, CUTOFF)
+    labelled = stage(labelled, "delayed-labels")
     found = outcomes.delayed_metrics(labelled, t.incident_starts, t.services, t.grid, CUTOFF, THRESHOLD)
     return rounded(found, "average_precision", "roc_auc", "brier", "log_loss", *_ROUNDED)
 

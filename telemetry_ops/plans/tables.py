@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemetry_ops.functions.session import use_utc
+from telemetry_ops.functions.session import stage, use_utc
 from telemetry_ops.grid import METRICS, TARGET, Grid
 from telemetry_ops.operators.features import labelled_features, window_features
 from telemetry_ops.operators.labels import future_labels
@@ -62,17 +62,22 @@ class Tables:
     def telemetry(self) -> DataFrame:
         return telemetry_from_events(self.events, self.grid)
 
+    @cached_property
+    def rollup(self) -> DataFrame:
+        """Telemetry staged as a table, for queries that read it more than once."""
+        return stage(self.telemetry, "telemetry")
+
     @cached_property
     def services(self) -> DataFrame:
         return self.events.select(service_of().alias("service_id")).distinct()
 
     @cached_property
     def incidents(self) -> DataFrame:
-        return incidents_from_telemetry(self.telemetry, self.grid)
+        return incidents_from_telemetry(self.rollup, self.grid)
 
     @cached_property
     def labels(self) -> DataFrame:
-        return future_labels(self.telemetry, self.incidents, self.grid, coverage_end=COVERAGE_END)
+        return future_labels(self.rollup, self.incidents, self.grid, coverage_end=COVERAGE_END)
 
     @cached_property
     def features(self) -> DataFrame:
@@ -103,14 +108,19 @@ class Tables:
     def run_telemetry(self) -> DataFrame:
         run = F.call_function("div", F.col("step"), F.lit(RUN_STEPS)) * RUN_STEPS
         return (
-            self._with_run(self.telemetry, "timestamp")
+            self._with_run(self.rollup, "timestamp")
             .withColumn("run_start", self.grid.time(run))
             .withColumn("run_end", self.grid.time(run + RUN_STEPS))
         )
 
     @cached_property
     def run_incidents(self) -> DataFrame:
-        return self._with_run(self.incidents, "incident_start")
+        return self._with_run(self.truth, "incident_start")
+
+    @cached_property
+    def truth(self) -> DataFrame:
+        """Incidents staged as a table, for queries that read them more than once."""
+        return stage(self.incidents, "incidents")
 
     @cached_property
     def error_features(self) -> DataFrame:
@@ -139,7 +149,8 @@ class Tables:
 
     @cached_property
     def modelling_rows(self) -> DataFrame:
-        return self._training_rows(METRICS)
+        """Staged, because references, fits and scores all read it."""
+        return stage(self._training_rows(METRICS), "modelling-rows")
 
     @cached_property
     def rule_rows(self) -> DataFrame:
@@ -148,7 +159,7 @@ class Tables:
 
     @cached_property
     def predictions(self) -> DataFrame:
-        """Four rule scores in [0, 1] per modelling row, in long form."""
+        """Four rule scores in [0, 1] per modelling row, in long form; staged for its consumers."""
         current, mean, high = (F.col(f"error_rate__{s}") for s in ("current", "mean", "max"))
         sigmoid = F.round(1.0 / (1.0 + F.exp(2.0 - 4.0 * mean)), 6)
         scores = F.array(
@@ -162,7 +173,7 @@ class Tables:
                 )
             ]
         )
-        return self.rule_rows.where(F.col("partition") != "purged").select(
+        rows = self.rule_rows.where(F.col("partition") != "purged").select(
             "run_id",
             "service_id",
             "timestamp",
@@ -170,6 +181,7 @@ class Tables:
             F.col(TARGET).alias("target"),
             F.inline(scores),
         )
+        return stage(rows, "predictions")
 
     # Stored tables of the serving side: models, predictions, outcomes and snapshots.
     @cached_property
@@ -189,7 +201,7 @@ class Tables:
 
     @cached_property
     def stored_predictions(self) -> DataFrame:
-        rows = window_features(self.telemetry, self.grid, scales=SCALES, metrics=("error_rate",))
+        rows = window_features(self.rollup, self.grid, scales=SCALES, metrics=("error_rate",))
         scores = F.array(
             *[
                 F.struct(F.lit(f"model-{n}").alias("model_id"), F.col(f"error_rate__{n}").alias("probability"))
@@ -212,7 +224,7 @@ class Tables:
     @cached_property
     def incident_starts(self) -> DataFrame:
         step = self.grid.step("incident_start")
-        return self.incidents.select(
+        return self.truth.select(
             F.col("incident_id").alias("source_id"),
             "service_id",
             F.col("incident_start").alias("start"),
@@ -483,5 +495,5 @@ CTES: dict[str, str] = {
 def training_rows(tables: Tables, coverage_end: datetime) -> DataFrame:
     """Features joined with their labels, eligible rows only."""
     return labelled_features(
-        tables.telemetry, tables.incidents, tables.grid, coverage_end=coverage_end, scales=SCALES
+        tables.rollup, tables.incidents, tables.grid, coverage_end=coverage_end, scales=SCALES
     )

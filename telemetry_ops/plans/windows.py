@@ -50,13 +50,13 @@ def window_features(t):
 )
 def pit_features(t):
     """One request per telemetry key, scored twenty minutes after its row arrived."""
-    requests = t.telemetry.select(
+    requests = t.rollup.select(
         "service_id",
         "timestamp",
         F.timestamp_add("MINUTE", F.lit(20).cast("bigint"), F.col("ingested_at")).alias("cutoff"),
     )
     return features.point_in_time_features(
-        requests, t.telemetry, t.grid, request_key=["service_id", "timestamp", "cutoff"], scales=SCALES
+        requests, t.rollup, t.grid, request_key=["service_id", "timestamp", "cutoff"], scales=SCALES
     )
 
 
@@ -194,6 +194,6 @@ ORDINAL_CUTS = [("train", 0.0, 0.5), ("validation", 0.5, 0.7), ("evaluation", 0.
          AND t.timestamp <= i.recovery_end + INTERVAL 20 HOUR""",
 )
 def relative_times(t):
-    return relative_minutes(t.telemetry, t.incidents, t.grid, margin_steps=20)
+    return relative_minutes(t.rollup, t.incidents, t.grid, margin_steps=20)
 
 
