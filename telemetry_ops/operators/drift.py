@@ -45,23 +45,13 @@ def _bin(value: Column, edges: Column) -> Column:
     return (below + (value > F.element_at(edges, -1)).cast("int")).cast("bigint")
 
 
-def _bin_counts(long: DataFrame, edges: DataFrame) -> DataFrame:
-    """Rows per feature and bin. ``edges`` has one row per feature column of the schema, so its
-    size is bounded by the schema and not by the data."""
-    return (
-        long.join(F.broadcast(edges.select("feature", "edges")), "feature")
-        .groupBy("feature", _bin(F.col("value"), F.col("edges")).alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-
-
 def drift_reference(long: DataFrame, bins: int) -> DataFrame:
     """Edges at the unique linear-interpolated quantiles 0..1 and the share of rows per bin."""
     levels = [i / bins for i in range(bins + 1)]
     edges = exact_percentiles(long, ["feature"], "value", levels).select(
         "feature", "samples", F.array_sort(F.array_distinct("percentiles")).alias("edges")
     )
-    shares = _bin_counts(long, edges).groupBy("feature").agg(
+    shares = bin_counts(long, edges).groupBy("feature").agg(
         F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_counts")
     )
     all_bins = F.sequence(F.lit(0), F.size("edges") + 1).cast("array<bigint>")
@@ -82,51 +72,72 @@ def status_of(psi: Column, config: DriftConfig) -> Column:
     return F.when(psi >= config.severe, "severe").when(psi >= config.warning, "warning").otherwise("stable")
 
 
-def population_stability(long: DataFrame, reference: DataFrame, config: DriftConfig) -> DataFrame:
+def population_stability(
+    long: DataFrame, reference: DataFrame, config: DriftConfig, by: tuple[str, ...] = ()
+) -> DataFrame:
     """PSI and status per reference feature; both sides are smoothed and renormalised.
 
     Non-finite values make a feature ``invalid``; too few samples make it ``insufficient``. Both
-    have a null PSI. Values are binned and counted map-side, so only bin counts are shuffled.
+    have a null PSI. ``by`` names further keys of ``long``, such as a time interval.
+    """
+    return stability_of_counts(bin_counts(long, reference, by), reference, config, by)
+
+
+def bin_counts(long: DataFrame, reference: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows per feature and bin, non-finite values in bin -1.
+
+    Values are counted map-side, so only bin counts are shuffled. Also works on a stream.
     """
     value = F.col("value")
-    totals = long.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.count_if(value.isNull() | not_finite(value)).alias("_bad"),
+    bad = value.isNull() | not_finite(value)
+    edges = F.broadcast(reference.select("feature", "edges"))  # one row per feature of the schema
+    place = F.when(bad, F.lit(-1).cast("bigint")).otherwise(_bin(value, F.col("edges")))
+    return (
+        long.join(edges, "feature").groupBy(*by, "feature", place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     )
-    counts = _bin_counts(long.where(value.isNotNull() & ~not_finite(value)), reference)
-    table = reference.select("feature", F.posexplode("expected").alias("bin", "_e")).withColumn(
-        "bin", F.col("bin").cast("bigint")
+
+
+def stability_of_counts(
+    counts: DataFrame, reference: DataFrame, config: DriftConfig, by: tuple[str, ...] = ()
+) -> DataFrame:
+    """PSI from bin counts; a feature has few bins, so its counts meet in one row."""
+    keys = [*by, "feature"]
+    found = counts.groupBy(*keys).agg(
+        F.sum("n").alias("_n"),
+        F.sum(F.when(F.col("bin") < 0, F.col("n")).otherwise(0)).alias("_bad"),
+        F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_counts"),
     )
+    if by:
+        joined = found.join(F.broadcast(reference.drop("samples")), "feature")
+    else:
+        joined = reference.drop("samples").join(found, "feature", "left")
+    n = F.coalesce("_n", F.lit(0))
+    size = F.size("expected").cast("bigint")
     s = F.lit(config.smoothing)
-    smoothed = (
-        table.join(counts, ["feature", "bin"], "left")
-        .join(totals, "feature", "left")
-        .select(
-            "feature",
-            F.coalesce("_n", F.lit(0)).alias("_n"),
-            F.coalesce("_bad", F.lit(0)).alias("_bad"),
-            (F.coalesce("n", F.lit(0)) / F.greatest("_n", F.lit(1)) + s).alias("_a"),
-            (F.col("_e") + s).alias("_e"),
-        )
+    hits = F.coalesce("_counts", F.map_from_arrays(F.array().cast("array<bigint>"), F.array().cast("array<bigint>")))
+    shares = F.transform(
+        F.sequence(F.lit(0).cast("bigint"), size - 1),
+        lambda b: F.coalesce(F.element_at(F.col("_hits"), b), F.lit(0)) / F.greatest(F.col("samples"), F.lit(1)) + s,
     )
-    # Renormalising needs the sums of both sides; every feature has few bins.
-    gathered = smoothed.groupBy("feature").agg(
-        F.max("_n").alias("samples"),
-        F.max("_bad").alias("_bad"),
-        F.sum("_a").alias("_sa"),
-        F.sum("_e").alias("_se"),
-        F.collect_list(F.struct("_a", "_e")).alias("_bins"),
+    both = joined.select(
+        *keys, n.alias("samples"), F.coalesce("_bad", F.lit(0)).alias("_bad"), hits.alias("_hits"), "expected"
+    ).select(
+        *keys, "samples", "_bad", shares.alias("_a"), F.transform("expected", lambda e: e + s).alias("_e")
     )
-    terms = F.transform(
-        "_bins",
-        lambda b: (b["_a"] / F.col("_sa") - b["_e"] / F.col("_se"))
-        * F.ln((b["_a"] / F.col("_sa")) / (b["_e"] / F.col("_se"))),
+
+    def total(name):
+        return F.aggregate(name, F.lit(0.0), lambda x, y: x + y)
+
+    normal = both.withColumn("_sa", total("_a")).withColumn("_se", total("_e"))
+    terms = F.zip_with(
+        "_a",
+        "_e",
+        lambda a, e: (a / F.col("_sa") - e / F.col("_se")) * F.ln((a / F.col("_sa")) / (e / F.col("_se"))),
     )
-    # Ascending order makes the sum independent of the order of bins.
-    psi = F.aggregate(F.array_sort(terms), F.lit(0.0), lambda x, y: x + y)
+    psi = F.aggregate(terms, F.lit(0.0), lambda x, y: x + y)
     usable = (F.col("_bad") == 0) & (F.col("samples") >= config.minimum_samples)
-    return gathered.select("feature", "samples", "_bad", F.when(usable, psi).alias("psi")).select(
-        "feature",
+    return normal.select(*keys, "samples", "_bad", F.when(usable, psi).alias("psi")).select(
+        *keys,
         F.when(F.col("_bad") > 0, "invalid")
         .when(F.col("samples") < config.minimum_samples, "insufficient")
         .otherwise(status_of(F.col("psi"), config))
