@@ -14,8 +14,13 @@ COARSE, FINE = 1 << 10, 1 << 22
 
 
 def _bucket(value: Column, width: int) -> Column:
-    """Monotone in ``value``: sign times the floor of the scaled logarithm of its magnitude."""
-    return (F.signum(value) * F.floor(F.log1p(F.abs(value)) * width)).cast("bigint")
+    """Monotone in ``value``: sign times the floor of the scaled logarithm of its magnitude.
+
+    Never null, so that no null filter is pushed below the counts; the branches of ``cumulative``
+    then share one shuffle of them.
+    """
+    found = (F.signum(value) * F.floor(F.log1p(F.abs(value)) * width)).cast("bigint")
+    return F.coalesce(found, F.lit(0).cast("bigint"))
 
 
 def cumulative(

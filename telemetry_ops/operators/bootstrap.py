@@ -14,7 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+from telemetry_ops.functions.session import stage
+
+BUCKET_SCORES = 20_000  # distinct scores per bucket to aim at
+MAX_BUCKETS = 1 << 20
 BLOCK_CELLS = 4_000_000
 
 
@@ -45,13 +48,17 @@ def grouped_uncertainty(
     sizes = runs.groupBy(*by).agg(F.count(F.lit(1)).alias("groups"))
     numbered = runs.join(sizes, by)
 
-    counts = (
-        predictions.groupBy(*by, "run_id", "probability")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("pos"))
-        .join(numbered, [*by, "run_id"])
-        .withColumn("_bucket", F.floor(F.col("probability") * BUCKETS).cast("bigint"))
+    scores = stage(
+        predictions.groupBy(*by, "run_id", "probability").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("target").alias("pos")
+        ),
+        "bootstrap-scores",
+    )
+    buckets = min(max(scores.count() // BUCKET_SCORES, 1), MAX_BUCKETS)
+    counts = scores.join(numbered, [*by, "run_id"]).withColumn(
+        "_bucket", F.floor(F.col("probability") * buckets).cast("bigint")
     )
-    # Totals of the higher buckets per run: at most BUCKETS rows per group and run.
+    # Totals of the higher buckets per run: at most one row per group, run and bucket.
     above = Window.partitionBy(*by, "_run").orderBy(F.desc("_bucket")).rangeBetween(
         Window.unboundedPreceding, -1
     )

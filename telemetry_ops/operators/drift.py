@@ -51,15 +51,24 @@ def drift_reference(long: DataFrame, bins: int) -> DataFrame:
     edges = exact_percentiles(long, ["feature"], "value", levels).select(
         "feature", "samples", F.array_sort(F.array_distinct("percentiles")).alias("edges")
     )
-    shares = bin_counts(long, edges).groupBy("feature").agg(
-        F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_counts")
+    # Edges travel with the counts, so they are computed once.
+    shares = (
+        long.join(F.broadcast(edges), "feature")
+        .groupBy("feature", _bin(F.col("value"), F.col("edges")).alias("bin"))
+        .agg(F.count(F.lit(1)).alias("n"), F.first("edges").alias("edges"), F.first("samples").alias("samples"))
+        .groupBy("feature")
+        .agg(
+            F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_counts"),
+            F.first("edges").alias("edges"),
+            F.first("samples").alias("samples"),
+        )
     )
     all_bins = F.sequence(F.lit(0), F.size("edges") + 1).cast("array<bigint>")
     expected = F.transform(
         all_bins,
         lambda b: F.coalesce(F.element_at(F.col("_counts"), b), F.lit(0)) / F.col("samples"),
     )
-    return edges.join(shares, "feature").select("feature", "edges", expected.alias("expected"), "samples")
+    return shares.select("feature", "edges", expected.alias("expected"), "samples")
 
 
 def invalid_reference_values(long: DataFrame) -> DataFrame:
