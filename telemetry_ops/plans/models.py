@@ -84,9 +84,9 @@ def per_entity_models(t):
 
 
 _SCORED = f"""study AS MATERIALIZED (SELECT machine, ordinal, y, latency_p95_ms, CASE
-      WHEN ordinal - 15 >= 0 AND ordinal + 10 < floor(n * 0.5) THEN 'train'
-      WHEN ordinal - 15 >= floor(n * 0.5) AND ordinal + 10 < floor(n * 0.7) THEN 'validation'
-      WHEN ordinal - 15 >= floor(n * 0.7) AND ordinal + 10 < n THEN 'evaluation'
+      WHEN ordinal - 15 >= 0 AND ordinal + 10 < floor(n * 0.5::DOUBLE) THEN 'train'
+      WHEN ordinal - 15 >= floor(n * 0.5::DOUBLE) AND ordinal + 10 < floor(n * 0.7::DOUBLE) THEN 'validation'
+      WHEN ordinal - 15 >= floor(n * 0.7::DOUBLE) AND ordinal + 10 < n THEN 'evaluation'
       ELSE 'purged' END AS partition, start
     FROM (SELECT *, CASE WHEN ordinal + 10 < n THEN coalesce(max(start) OVER (PARTITION BY machine
             ORDER BY ordinal ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING), 0) END AS y FROM ({_STARTS}))),

@@ -275,7 +275,7 @@ def incident_context(t):
 @query(
     "phase_means",
     f"""SELECT incident_id, incident_type, phase, count(*) AS rows,
-          {", ".join(f"round(avg({m}), 6) AS {m}" for m in _DESCRIBED)}
+          {", ".join(f"round(avg({m}), 8) AS {m}" for m in _DESCRIBED)}
         FROM (SELECT *, CASE WHEN timestamp < precursor_start THEN 'baseline'
             WHEN timestamp < incident_start THEN 'precursor' WHEN timestamp < incident_end THEN 'active'
             WHEN timestamp < recovery_end THEN 'recovery'
@@ -284,7 +284,7 @@ def incident_context(t):
 )
 def phase_means(t):
     found = describe.phase_means(t.rollup, t.truth, t.grid, _DESCRIBED)
-    return rounded(found, *_DESCRIBED, digits=6)
+    return rounded(found, *_DESCRIBED, digits=8)
 
 
 @query(

@@ -167,9 +167,9 @@ def rolling_mean(t):
 @query(
     "ordinal_partitions",
     f"""SELECT machine, ordinal, CASE
-          WHEN ordinal - 15 >= 0 AND ordinal + 10 < floor(n * 0.5) THEN 'train'
-          WHEN ordinal - 15 >= floor(n * 0.5) AND ordinal + 10 < floor(n * 0.7) THEN 'validation'
-          WHEN ordinal - 15 >= floor(n * 0.7) AND ordinal + 10 < n THEN 'evaluation'
+          WHEN ordinal - 15 >= 0 AND ordinal + 10 < floor(n * 0.5::DOUBLE) THEN 'train'
+          WHEN ordinal - 15 >= floor(n * 0.5::DOUBLE) AND ordinal + 10 < floor(n * 0.7::DOUBLE) THEN 'validation'
+          WHEN ordinal - 15 >= floor(n * 0.7::DOUBLE) AND ordinal + 10 < n THEN 'evaluation'
           ELSE 'purged' END AS partition FROM ({_STARTS})""",
 )
 def ordinal_partitions(t):
