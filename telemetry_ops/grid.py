@@ -74,7 +74,7 @@ class Grid:
         return self.chunk_points * self.step_us
 
     def _origin(self) -> Column:
-        return F.lit(self.origin.isoformat(sep=" ")).cast("timestamp_ntz")
+        return moment(self.origin)
 
     def us(self, timestamp: Column | str) -> Column:
         """Microseconds since the origin (the session time zone must be UTC)."""
@@ -94,6 +94,13 @@ class Grid:
         return F.timestamp_add("SECOND", (column * self.step_seconds).cast("bigint"), self._origin())
 
 
+def moment(value: datetime | Column) -> Column:
+    """A zone-free timestamp; Python datetimes go through text, so no local zone can shift them."""
+    if isinstance(value, Column):
+        return value
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def floor_div(value: Column, by: int) -> Column:
     """Exact floor division of bigints (``floor(a/b)`` would go through doubles)."""
     return F.call_function("div", value - F.pmod(value, F.lit(by)), F.lit(by))

@@ -6,16 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemetry_ops.functions.timeline import CHUNK, OWN, chunk_window, with_halo
-from telemetry_ops.grid import TARGET, Grid
+from telemetry_ops.grid import TARGET, Grid, moment
 
 ENTITY = ("service_id",)
 
 
-def _offset(grid: Grid, moment) -> Column:
+def _offset(grid: Grid, time) -> Column:
     """Microsecond offset of a column, a column name or a ``datetime``."""
-    if isinstance(moment, (str, Column)):
-        return grid.us(moment)
-    return grid.us(F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz"))
+    return grid.us(time if isinstance(time, str) else moment(time))
 
 
 def _spans_window(grid: Grid, start: Column) -> Column:

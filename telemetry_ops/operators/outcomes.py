@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemetry_ops.functions.timeline import running
-from telemetry_ops.grid import Grid, floor_div
+from telemetry_ops.grid import Grid, floor_div, moment
 from telemetry_ops.operators.episodes import operational_summary
 from telemetry_ops.operators.labels import starts_ahead
 from telemetry_ops.operators.scores import row_metrics
@@ -16,17 +16,13 @@ from telemetry_ops.operators.scores import row_metrics
 SERVICE = ["service_id"]
 
 
-def _moment(value: datetime | Column) -> Column:
-    return value if isinstance(value, Column) else F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
-
-
 def merge_coverage(coverage: DataFrame, grid: Grid, cutoff: datetime | Column | None = None) -> DataFrame:
     """Union of the ``(start, end]`` certificates known by the cutoff, as disjoint intervals.
 
     Touching certificates join. A certificate opens a new interval when it starts after every
     earlier end; running maxima go through time buckets, so one service may own most certificates.
     """
-    known = coverage if cutoff is None else coverage.where(F.col("recorded_at") <= _moment(cutoff))
+    known = coverage if cutoff is None else coverage.where(F.col("recorded_at") <= moment(cutoff))
     rows = known.select(
         "service_id", grid.us("start").alias("_from"), grid.us("end").alias("_to"), "source_id"
     ).withColumn("_bucket", floor_div(F.col("_from"), grid.chunk_us))
@@ -84,7 +80,7 @@ def delayed_labels(
     Exclusions in order: ``unavailable_prediction`` (produced after the cutoff), ``immature``
     (``t+H`` after the cutoff), ``uncertified`` (horizon not covered by known certificates).
     """
-    cutoff = _moment(cutoff)
+    cutoff = moment(cutoff)
     onsets = incident_starts.where(F.col("recorded_at") <= cutoff).select("service_id", "start")
     rows = covered_horizons(predictions, merge_coverage(coverage, grid, cutoff), grid)
     rows = starts_ahead(rows, onsets, grid)
@@ -125,7 +121,7 @@ def delayed_metrics(
     rows = labelled.where(F.col("reason").isNull()).select(
         F.lit("operational").alias("run_id"), "service_id", "timestamp", "probability", "target"
     )
-    truth = incident_starts.where(F.col("recorded_at") <= _moment(cutoff)).select(
+    truth = incident_starts.where(F.col("recorded_at") <= moment(cutoff)).select(
         F.lit("operational").alias("run_id"),
         "service_id",
         F.col("source_id").alias("incident_id"),
@@ -165,7 +161,7 @@ def import_outcomes(
     inside a stored certificate) are errors; ``new`` and ``unchanged`` are not. Equal records in
     one batch count once as new. Callers append only when ``import_errors`` is empty.
     """
-    now = _moment(now)
+    now = moment(now)
     new_incidents = _classify(incidents, stored_incidents, ["service_id", "start"], now)
     marked = _inside_certificate(new_incidents, stored_coverage, grid)
     status = F.when((F.col("status") == "new") & F.col("_certified"), "contradiction").otherwise(
@@ -260,4 +256,4 @@ def append_outcomes(classified: DataFrame, path: str, recorded_at: datetime | Co
     if wrong:
         raise ValueError(f"Import rejected: {sorted((r['status'], r['count']) for r in wrong)}")
     fresh = classified.where("status = 'new'").drop("records", "status")
-    fresh.withColumn("recorded_at", _moment(recorded_at)).write.mode("append").parquet(path)
+    fresh.withColumn("recorded_at", moment(recorded_at)).write.mode("append").parquet(path)

@@ -8,17 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemetry_ops.functions.ranks import exact_percentiles
-from telemetry_ops.grid import METRICS, Grid
+from telemetry_ops.grid import METRICS, Grid, moment
 from telemetry_ops.operators.describe import latest
 from telemetry_ops.operators.scores import decision
 
 
-def _moment(value: datetime) -> Column:
-    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
-
-
 def _between(column: str, start: datetime, end: datetime) -> Column:
-    return (F.col(column) >= _moment(start)) & (F.col(column) < _moment(end))
+    return (F.col(column) >= moment(start)) & (F.col(column) < moment(end))
 
 
 def coverage(services: DataFrame, telemetry: DataFrame, grid: Grid, start: datetime, end: datetime):
@@ -105,9 +101,9 @@ def prediction_history(
     if service_id is not None:
         rows = rows.where(F.col("service_id") == service_id)
     if start is not None:
-        rows = rows.where(F.col("timestamp") >= _moment(start))
+        rows = rows.where(F.col("timestamp") >= moment(start))
     if end is not None:
-        rows = rows.where(F.col("timestamp") < _moment(end))
+        rows = rows.where(F.col("timestamp") < moment(end))
     return rows.orderBy(F.desc("timestamp"), F.asc("id")).limit(limit)
 
 
@@ -118,7 +114,7 @@ def ingest_merge(batch: DataFrame, stored: DataFrame, now: datetime | Column) ->
     """First write wins: the batch with ``status`` inserted, unchanged, conflict, future or
     duplicate (a key that the batch holds more than once)."""
     keys = ["service_id", "timestamp"]
-    now = now if isinstance(now, Column) else _moment(now)
+    now = moment(now)
     repeated = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies"))
     old = stored.select(*keys, F.lit(True).alias("_stored"), *[F.col(m).alias(f"_old_{m}") for m in METRICS])
     differs = F.lit(False)
@@ -142,7 +138,7 @@ def append_ingest(merged: DataFrame, path: str, ingested_at: datetime | Column)
     wrong = {k: v for k, v in counts.items() if k not in ("inserted", "unchanged")}
     if wrong:
         raise ValueError(f"Batch rejected: {wrong}")
-    arrival = ingested_at if isinstance(ingested_at, Column) else _moment(ingested_at)
+    arrival = moment(ingested_at)
     (
         merged.where("status = 'inserted'")
         .drop("status")

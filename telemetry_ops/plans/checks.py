@@ -7,12 +7,12 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from telemetry_ops.functions.session import new_folder
-from telemetry_ops.grid import METRICS, Grid
+from telemetry_ops.grid import METRICS, Grid, moment
 from telemetry_ops.operators import quality
 from telemetry_ops.operators.describe import shift_metrics
 from telemetry_ops.operators.labels import future_labels
 from telemetry_ops.plans.registry import query
-from telemetry_ops.plans.tables import COVERAGE_END, CUTOFF, ORIGIN, ntz
+from telemetry_ops.plans.tables import COVERAGE_END, CUTOFF, ORIGIN
 from telemetry_ops.sources import datasets
 from telemetry_ops.sources.events import INCIDENT_TYPES
 
@@ -234,8 +234,8 @@ def dq_incidents(t):
         t.truth,
         t.services,
         t.grid,
-        coverage_start=ntz(datetime(2024, 1, 2)),
-        coverage_end=ntz(COVERAGE_END),
+        coverage_start=moment(datetime(2024, 1, 2)),
+        coverage_end=moment(COVERAGE_END),
         types=INCIDENT_TYPES[:2],
     )
 
@@ -264,7 +264,7 @@ def dq_labels(t):
     """Labels built with a shorter horizon and without the first hours, audited."""
     shorter = Grid(ORIGIN, 3600, 15 * 3600, 9 * 3600)
     own = future_labels(t.rollup, t.truth, shorter, coverage_end=COVERAGE_END)
-    own = own.where(F.col("timestamp") >= ntz(datetime(2024, 1, 1, 5)))
+    own = own.where(F.col("timestamp") >= moment(datetime(2024, 1, 1, 5)))
     return quality.label_violations(own, t.labels)
 
 

@@ -7,11 +7,11 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from telemetry_ops.functions.session import stage
-from telemetry_ops.grid import FEATURES
+from telemetry_ops.grid import FEATURES, moment
 from telemetry_ops.operators import drift, outcomes, snapshots
 from telemetry_ops.plans.registry import query
 from telemetry_ops.plans.scoring import _ROUNDED, _ap, _auc, _losses, _SUMMARY, rounded
-from telemetry_ops.plans.tables import COVERAGE_END, CUTOFF, SCALES, THRESHOLD, ntz
+from telemetry_ops.plans.tables import COVERAGE_END, CUTOFF, SCALES, THRESHOLD
 
 CONFIG = drift.DriftConfig(minimum_samples=50)
 COLUMNS = [*FEATURES, "probability"]
@@ -327,7 +327,7 @@ def import_outcomes(t):
         "source_id", "service_id", F.when(hour % 11 == 0, altered).otherwise(F.col("start")).alias("start")
     )
     stored = t.incident_starts.where(hour % 3 == 0)
-    known = t.certificates.where(F.col("recorded_at") <= ntz(datetime(2024, 1, 20)))
+    known = t.certificates.where(F.col("recorded_at") <= moment(datetime(2024, 1, 20)))
     incidents, _ = outcomes.import_outcomes(batch, t.certificates, stored, known, t.grid, CUTOFF)
     return incidents
 

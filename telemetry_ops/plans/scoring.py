@@ -145,7 +145,7 @@ def pr_curve(t):
        g AS (SELECT DISTINCT partition, candidate FROM predictions)
        SELECT g.partition, g.candidate, bin, lower, upper, count(p.target) AS rows,
          CAST(coalesce(sum(p.target), 0) AS BIGINT) AS positives,
-         round(avg(p.probability), 10) AS mean_probability,
+         round(avg(p.probability) + 1e-12, 9) AS mean_probability,
          sum(p.target) / nullif(count(p.target), 0)::DOUBLE AS observed_fraction
        FROM g CROSS JOIN b LEFT JOIN predictions AS p ON p.partition = g.partition
          AND p.candidate = g.candidate AND (p.probability > lower OR (bin = 0 AND p.probability = 0))
@@ -153,7 +153,9 @@ def pr_curve(t):
        GROUP BY ALL""",
 )
 def reliability_bins(t):
-    return rounded(scores.reliability_table(t.predictions, GROUP), "mean_probability", digits=10)
+    table = scores.reliability_table(t.predictions, GROUP)
+    # The nudge keeps exact decimal ties from depending on the order of summation.
+    return rounded(table.withColumn("mean_probability", F.col("mean_probability") + 1e-12), "mean_probability")
 
 
 # -- operational ----------------------------------------------------------------------------------

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telemetry_ops.functions.session import new_folder, stage
-from telemetry_ops.grid import METRICS
+from telemetry_ops.grid import METRICS, moment
 from telemetry_ops.operators.drift import DriftConfig, drift_reference
 from telemetry_ops.plans.registry import query
 from telemetry_ops.plans.scoring import _episodes, rounded
-from telemetry_ops.plans.tables import ORIGIN, SCALES, THRESHOLD, ntz
+from telemetry_ops.plans.tables import ORIGIN, SCALES, THRESHOLD
 from telemetry_ops.streaming import jobs
 from telemetry_ops.streaming.runner import local_state_partitions
 
@@ -67,7 +67,7 @@ def stream_ingest(t):
         rejects,
         new_folder(t.spark, "ingest-progress"),
         services=t.services,
-        now=ntz(datetime(2024, 1, 29)),
+        now=moment(datetime(2024, 1, 29)),
         state_partitions=_state(t),
     )
     return t.spark.read.schema(jobs.STORED).parquet(target).drop("ingested_at")

@@ -6,11 +6,11 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from telemetry_ops.grid import METRICS
+from telemetry_ops.grid import METRICS, moment
 from telemetry_ops.operators import describe, features, summaries
 from telemetry_ops.plans.registry import query
 from telemetry_ops.plans.scoring import rounded
-from telemetry_ops.plans.tables import CUTOFF, SCALES, ntz
+from telemetry_ops.plans.tables import CUTOFF, SCALES
 from telemetry_ops.sources.events import INCIDENT_TYPES
 
 START, END = datetime(2024, 1, 2), datetime(2024, 1, 30)
@@ -123,10 +123,10 @@ def score_requests(t):
     """One request per telemetry key; half the month is already scored and keeps its scores."""
     keys = ["service_id", "timestamp", "model_id"]
     stored = t.stored_predictions.where(
-        (F.col("model_id") == "model-mean") & (F.col("produced_at") <= ntz(datetime(2024, 1, 15)))
+        (F.col("model_id") == "model-mean") & (F.col("produced_at") <= moment(datetime(2024, 1, 15)))
     )
     requests = t.rollup.select("service_id", "timestamp", F.lit("model-mean").alias("model_id"))
-    fresh = summaries.unscored_requests(requests, stored).withColumn("cutoff", ntz(CUTOFF))
+    fresh = summaries.unscored_requests(requests, stored).withColumn("cutoff", moment(CUTOFF))
     built = features.point_in_time_features(fresh, t.rollup, t.grid, request_key=keys, scales=SCALES)
     scored = built.select(*keys, F.col("error_rate__mean").alias("probability"))
     return summaries.score_requests(requests, stored, scored)
@@ -144,7 +144,7 @@ def score_requests(t):
 )
 def parity_audit(t):
     """Offline window features against point-in-time features, which have no coverage start."""
-    requests = t.rollup.select("service_id", "timestamp", F.lit(datetime(2024, 3, 1)).cast("timestamp_ntz").alias("cutoff"))
+    requests = t.rollup.select("service_id", "timestamp", moment(datetime(2024, 3, 1)).alias("cutoff"))
     online = features.point_in_time_features(
         requests, t.rollup, t.grid, request_key=["service_id", "timestamp", "cutoff"], scales=SCALES
     ).where("missing_points = 0")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemetry_ops.functions.session import stage, use_utc
-from telemetry_ops.grid import METRICS, TARGET, Grid
+from telemetry_ops.grid import METRICS, TARGET, Grid, moment
 from telemetry_ops.operators.features import labelled_features, window_features
 from telemetry_ops.operators.labels import future_labels
 from telemetry_ops.operators.partitions import assign_partitions
@@ -43,10 +43,6 @@ MODEL_THRESHOLDS = {"current": 0.5, "max": 0.8, "mean": 0.25}
 CUTOFF = datetime(2024, 1, 29)
 
 
-def ntz(moment: datetime):
-    return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
-
-
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str, grid: Grid = HOURLY):
         self.spark, self.dir, self.grid = use_utc(spark), sf_dir, grid

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from telemetry_ops.functions.timeline import running
-from telemetry_ops.grid import METRICS, TARGET
+from telemetry_ops.grid import METRICS, TARGET, moment
 
 _STAMP = T.TimestampNTZType()
 
@@ -109,9 +109,6 @@ def asof_scan(
     services: list[str] | None = None,
 ) -> DataFrame:
     """Rows of ``[start, end)`` that had arrived by the cutoff; the filters reach the file scan."""
-    def moment(value):
-        return value if isinstance(value, Column) else F.lit(value).cast("timestamp_ntz")
-
     kept = stored.where(
         (F.col("timestamp") >= moment(start))
         & (F.col("timestamp") < moment(end))

@@ -18,7 +18,7 @@ from telemetry_ops.operators.drift import DriftConfig, bin_counts, stability_of_
 from telemetry_ops.operators.features import _fixed_point, _statistics
 from telemetry_ops.operators.quality import parse_records
 from telemetry_ops.operators.summaries import ingest_merge, unscored_requests
-from telemetry_ops.streaming.runner import append_new, read_table, run_available
+from telemetry_ops.streaming.runner import append_new, around, read_table, run_available
 
 STORED = T.StructType(
     [T.StructField("service_id", T.StringType()), T.StructField("timestamp", T.TimestampNTZType())]
@@ -49,7 +49,8 @@ def ingest_stream(
         parsed = parse_records(batch, body, services).persist()
         try:
             valid = parsed.where("reason IS NULL").select("service_id", "timestamp", *METRICS).distinct()
-            merged = ingest_merge(valid, read_table(spark, target, STORED), now).persist()
+            stored = around(read_table(spark, target, STORED), valid, "timestamp")
+            merged = ingest_merge(valid, stored, now).persist()
             try:
                 refused = merged.where("status NOT IN ('inserted', 'unchanged')").select(
                     "service_id", "timestamp", F.col("status").alias("reason")
@@ -119,7 +120,7 @@ def feature_table(features: DataFrame, path: str, checkpoint: str, state_partiti
     """Store each complete window once."""
     run_available(
         features,
-        lambda batch, _: append_new(batch, path, ["service_id", "timestamp"]),
+        lambda batch, _: append_new(batch, path, ["service_id", "timestamp"], "timestamp"),
         checkpoint,
         "update",
         state_partitions,
@@ -145,7 +146,8 @@ def score_stream(
             [f for f in rows.schema if f.name in keys]
             + [T.StructField("probability", T.DoubleType()), T.StructField("produced_at", T.TimestampNTZType())]
         )
-        fresh = unscored_requests(rows, read_table(batch.sparkSession, path, schema), tuple(keys))
+        stored = around(read_table(batch.sparkSession, path, schema), rows, "timestamp")
+        fresh = unscored_requests(rows, stored, tuple(keys))
         scored = score(fresh).select(
             *[f.name for f in schema if f.name in keys], "probability", now.alias("produced_at")
         )
@@ -186,6 +188,7 @@ def drift_stream(
             ),
             path,
             ["start", "feature"],
+            "start",
         )
 
     run_available(counts, handle, checkpoint, "append", state_partitions)
@@ -225,7 +228,7 @@ def delayed_stream(
         F.col("start").isNotNull().cast("bigint").alias("target"),
     )
     run_available(
-        joined, lambda batch, _: append_new(batch, path, ["id"]), checkpoint, "append", state_partitions
+        joined, lambda batch, _: append_new(batch, path, ["id"], "timestamp"), checkpoint, "append", state_partitions
     )
 
 
@@ -256,5 +259,5 @@ def episode_stream(
         "alert_points",
     )
     run_available(
-        closed, lambda batch, _: append_new(batch, path, [*keys, "start"]), checkpoint, "append", state_partitions
+        closed, lambda batch, _: append_new(batch, path, [*keys, "start"], "start"), checkpoint, "append", state_partitions
     )

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from telemetry_ops.grid import moment
+
 
 def run_available(
     stream: DataFrame,
@@ -54,11 +58,25 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
         raise
 
 
-def append_new(batch: DataFrame, path: str, keys: list[str]) -> None:
+def around(stored: DataFrame, batch: DataFrame, time: str) -> DataFrame:
+    """The part of a table whose times lie within the batch's; the bounds reach the file scan."""
+    bounds = batch.agg(F.min(time), F.max(time)).first()
+    if bounds[0] is None:
+        return stored.where("false")
+    low, high = (moment(v) if isinstance(v, datetime) else F.lit(v) for v in bounds)
+    return stored.where(F.col(time).between(low, high))
+
+
+def append_new(batch: DataFrame, path: str, keys: list[str], time: str) -> None:
     """Append rows whose key the table does not hold yet; replaying a batch adds nothing.
 
-    Equal keys inside the batch must hold equal rows.
+    ``time`` is fixed by the key, so only the stored rows of the batch's time range are read. Equal
+    keys inside the batch must hold equal rows.
     """
-    stored = read_table(batch.sparkSession, path, batch.schema)
-    fresh = batch.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
-    fresh.write.mode("append").parquet(path)
+    batch = batch.persist()
+    try:
+        stored = around(read_table(batch.sparkSession, path, batch.schema), batch, time)
+        fresh = batch.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
+        fresh.write.mode("append").parquet(path)
+    finally:
+        batch.unpersist()

@@ -42,6 +42,6 @@ def test_replayed_batch_adds_nothing(spark, tmp_path):
     from telemetry_ops.streaming.runner import append_new
 
     rows = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
-    append_new(rows, str(tmp_path / "t"), ["k"])
-    append_new(rows, str(tmp_path / "t"), ["k"])
+    append_new(rows, str(tmp_path / "t"), ["k"], "v")
+    append_new(rows, str(tmp_path / "t"), ["k"], "v")
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
