@@ -52,7 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), x -> x <> '')"
+_WORDS = r"[x FOR x IN string_split_regex({}, '[\x20\x09-\x0D]+') IF x <> '']"
 
 SQL: dict[str, str] = {
     "op1_ngram_jaccard": f"""
