@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from telemetry_ops.llm import chat, ngram_join, prefix_hash, risk_rules, string_kernel, tokens
+from telemetry_ops.llm import brown_lm, chat, crf, mixing, ngram_join, prefix_hash, risk_rules, sanitise, string_kernel, tokens
 from telemetry_ops.llm.text import table
 
 
@@ -31,10 +31,26 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op5_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.brown_scores(table(spark, sf_dir, "documents"))
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.language_id(table(spark, sf_dir, "documents"))
+
+
 def op8_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.span_report(table(spark, sf_dir, "documents"))
+
+
 def op10_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return string_kernel.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,7 +62,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_prefix_fingerprints,
         op3_chat_format,
         op4_sentencepiece,
+        op5_brown_lm,
+        op6_source_mixing,
+        op7_language_crf,
         op8_risk_rules,
+        op9_sanitise,
         op10_string_kernel,
     )
 }
