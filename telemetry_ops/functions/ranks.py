@@ -1,8 +1,10 @@
 """Cumulative counts and exact percentiles over groups of any size.
 
 Rows are reduced to one per distinct value first, so ties cost nothing. Values are then put into
-coarse and fine ordered buckets by a monotone formula. Only bucket totals are summed along a whole
-group; the rows themselves are ordered inside one fine bucket.
+coarse and fine ordered buckets by binary exponent and leading mantissa bits. Only bucket totals are
+summed along a whole group; the rows themselves are ordered inside one fine bucket. A double has 52
+mantissa bits, so a group has at most 2^23 coarse buckets, a coarse bucket 2^21 fine ones, and a fine
+bucket 2^21 distinct values: no task orders more rows than that, however values lie.
 """
 
 from __future__ import annotations
@@ -10,16 +12,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-COARSE, FINE = 1 << 10, 1 << 22
+COARSE, FINE = 10, 31  # leading mantissa bits
+_EXPONENTS = 1100  # more than the exponents below zero
 
 
-def _bucket(value: Column, width: int) -> Column:
-    """Monotone in ``value``: sign times the floor of the scaled logarithm of its magnitude.
+def _bucket(value: Column, bits: int) -> Column:
+    """Monotone in ``value``: its binary exponent and so many leading bits of its mantissa.
 
-    Never null, so that no null filter is pushed below the counts; the branches of ``cumulative``
-    then share one shuffle of them.
+    Where the logarithm misses a power of two by one, the remainder leaves ``[0, 1)`` by as much, so
+    the bucket is the same. Never null, so that no null filter is pushed below the counts; the branches of
+    ``cumulative`` then share one shuffle of them.
     """
-    found = (F.signum(value) * F.floor(F.log1p(F.abs(value)) * width)).cast("bigint")
+    size = F.abs(value.cast("double"))
+    exponent = F.floor(F.log2(size))
+    scaled = size / F.pow(F.lit(2.0), exponent.cast("double")) - 1
+    width = F.lit(1 << bits).cast("bigint")
+    place = (exponent + _EXPONENTS) * width + F.floor(scaled * width.cast("double"))
+    found = F.when(value == 0, F.lit(0).cast("bigint")).when(value > 0, place).otherwise(-place)
     return F.coalesce(found, F.lit(0).cast("bigint"))
 
 
@@ -84,12 +93,31 @@ def exact_percentiles(
     Null and NaN values are left out. No task ever holds a whole group.
     """
     number = F.lit(1) if weight is None else F.col(weight)
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(
+        *keys, F.col(value).cast("double").alias("_v"), number.alias("_w")
+    )
+    rows = rows.withColumn("_b", _bucket(F.col("_v"), COARSE))
+    # Only buckets that hold a wanted rank matter; they are found from totals per bucket, which are summed
+    # before the shuffle. Rows of other buckets are never shuffled or ordered.
+    group = keys or ["_everything"]
+    totals = rows.groupBy(*keys, "_b").agg(F.sum("_w").cast("bigint").alias("_n"))
+    totals = totals if keys else totals.withColumn("_everything", F.lit(1))
+    along = Window.partitionBy(*group)
+    before = F.coalesce(F.sum("_n").over(along.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.select(*keys, "_b", "_n", before.alias("_before"), F.sum("_n").over(along).alias("_n_all"))
+    wanted = F.lit(False)
+    for level in levels:
+        position = (F.col("_n_all") - 1) * F.lit(float(level))
+        for rank in (F.floor(position), F.ceil(position)):
+            wanted = wanted | ((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n")))
+    holding = totals.where(wanted).select(*keys, "_b", "_before", "_n_all")
     counts = (
-        df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(F.sum(number).cast("bigint").alias("_n"))
+        rows.join(holding, [*keys, "_b"])
+        .groupBy(*keys, "_b", "_v")
+        .agg(F.sum("_w").cast("bigint").alias("_n"), F.first("_before").alias("_before"), F.first("_n_all").alias("_total"))
     )
-    ranked = cumulative(counts, keys, "_v", ["_n"])
+    ranked = cumulative(counts, [*keys, "_b"], "_v", ["_n"]).drop("_n_all")
+    ranked = ranked.withColumn("_n_upto", F.col("_n_upto") + F.col("_before")).withColumnRenamed("_total", "_n_all")
     low, high = F.col("_n_upto") - F.col("_n"), F.col("_n_upto")
 
     def at(rank):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,6 +53,12 @@ class Grid:
     def step_us(self) -> int:
         return self.step_seconds * SECOND
 
+    @property
+    def phase_us(self) -> int:
+        """Where grid points lie between two steps counted from the epoch."""
+        since = self.origin - datetime(1970, 1, 1)
+        return (since // timedelta(microseconds=1)) % self.step_us
+
     @property
     def window_us(self) -> int:
         return self.window_seconds * SECOND

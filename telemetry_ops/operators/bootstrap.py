@@ -14,10 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from telemetry_ops.functions.bounds import bounds_below
 from telemetry_ops.functions.session import stage
 
 BUCKET_SCORES = 20_000  # distinct scores per bucket to aim at
-MAX_BUCKETS = 1 << 20
 BLOCK_CELLS = 4_000_000
 
 
@@ -54,9 +54,12 @@ def grouped_uncertainty(
         ),
         "bootstrap-scores",
     )
-    buckets = min(max(scores.count() // BUCKET_SCORES, 1), MAX_BUCKETS)
+    # Bounds from the scores themselves: buckets stay even however scores are spread.
+    buckets = max(scores.count() // BUCKET_SCORES, 1)
+    levels = [i / buckets for i in range(1, buckets)]
+    bounds = sorted(set(scores.approxQuantile("probability", levels, 0.25 / buckets))) if levels else []
     counts = scores.join(numbered, [*by, "run_id"]).withColumn(
-        "_bucket", F.floor(F.col("probability") * buckets).cast("bigint")
+        "_bucket", bounds_below(F.col("probability"), bounds).cast("bigint")
     )
     # Totals of the higher buckets per run: at most one row per group, run and bucket.
     above = Window.partitionBy(*by, "_run").orderBy(F.desc("_bucket")).rangeBetween(
@@ -117,7 +120,8 @@ def grouped_uncertainty(
         .applyInPandas(lambda key, a, b: areas(key, a, b), schema)
     )
     precision = pieces.groupBy(*by, "replicate").agg(
-        F.try_divide(F.sum("area"), F.sum("positives")).alias("average_precision")
+        # A resample without positives scores 0, as it finds nothing; it stays in the interval.
+        F.coalesce(F.try_divide(F.sum("area"), F.sum("positives")), F.lit(0.0)).alias("average_precision")
     )
 
     # Detection rate: incidents per run times weights, again per replicate only at run level.

@@ -46,7 +46,13 @@ def _bin(value: Column, edges: Column) -> Column:
 
 
 def drift_reference(long: DataFrame, bins: int) -> DataFrame:
-    """Edges at the unique linear-interpolated quantiles 0..1 and the share of rows per bin."""
+    """Edges at the unique linear-interpolated quantiles 0..1 and the share of rows per bin.
+
+    The query fails on a missing or non-finite value, naming its feature: no reference is built from it.
+    """
+    bad = F.col("value").isNull() | not_finite(F.col("value"))
+    refused = F.raise_error(F.concat(F.lit("Reference value missing or not finite: "), F.col("feature")))
+    long = long.withColumn("value", F.when(bad, refused.cast("double")).otherwise(F.col("value")))
     levels = [i / bins for i in range(bins + 1)]
     edges = exact_percentiles(long, ["feature"], "value", levels).select(
         "feature", "samples", F.array_sort(F.array_distinct("percentiles")).alias("edges")

@@ -113,16 +113,17 @@ def fit_per_entity(
     steps: int = 50,
     tolerance: float = 1e-8,
 ) -> DataFrame:
-    """L2 logistic per machine on its own standardised rows: ``key, _mean, _std, weights``.
+    """L2 logistic per machine on its own standardised rows: ``key, _mean, _std, weights, converged``.
 
     Machines whose training rows have one class only are left out. Weights end with the intercept.
+    ``converged`` is false where the last step still moved a weight by the tolerance or more.
     """
     usable = class_counts(train, key, target).where("_positive > 0 AND _negative > 0").select(key)
     kept = train.join(usable, key, "left_semi")
     scaling = stage(_scaling(kept, key, features), "entity-scaling")
     machines = scaling.count()
     if not machines:
-        return scaling.withColumn("weights", F.array().cast("array<double>"))
+        return scaling.withColumn("weights", F.array().cast("array<double>")).withColumn("converged", F.lit(False))
     width = scaling.select(F.size("_mean")).first()[0] + 1
     small = broadcast_if_small(scaling, machines, 16 * width)
     rows = stage(
@@ -146,10 +147,10 @@ def fit_per_entity(
             _solve(key, strength), f"{key} {kind}, weights array<double>, change double"
         )
         moved = stage(moved, "entity-weights")
-        weights = moved.select(key, "weights")
+        weights, state = moved.select(key, "weights"), moved
         if moved.agg(F.max("change")).first()[0] < tolerance:
             break
-    return scaling.join(weights, key)
+    return scaling.join(state.select(key, "weights", (F.col("change") < tolerance).alias("converged")), key)
 
 
 def score_per_entity(rows: DataFrame, models: DataFrame, key: str, features: str) -> DataFrame:
@@ -161,4 +162,4 @@ def score_per_entity(rows: DataFrame, models: DataFrame, key: str, features: str
         lambda a, b: a + b,
     )
     joined = rows.join(models, key)
-    return joined.withColumn("probability", 1.0 / (1.0 + F.exp(-dot))).drop("_mean", "_std", "weights")
+    return joined.withColumn("probability", 1.0 / (1.0 + F.exp(-dot))).drop("_mean", "_std", "weights", "converged")

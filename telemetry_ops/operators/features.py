@@ -66,8 +66,8 @@ def window_features(
 
     A window with a gap gives no row and is never filled. All frames are ranges over time inside
     chunks and share one Window operator. ``scales`` (metric -> fixed-point factor) makes the sums
-    exact; ``points`` squared times the largest scaled value squared must fit a bigint. Telemetry
-    keys must be unique.
+    exact; ``points`` squared times the largest scaled value squared must fit a bigint. A null metric
+    or a repeated key inside a window counts as a gap.
     """
     rows = _elapsed_rows(telemetry, grid, coverage_start, None, entity, scales or {}, metrics)
     line = with_halo(rows, "_at", grid.chunk_us, before=(grid.window_points - 1) * grid.step_us)
@@ -156,8 +156,27 @@ def _window_columns(grid, entity, scales, metrics) -> tuple[list[Column], Column
         centred = 2 * moments - (2 * position - (points - 1)) * total
         oldest = over(F.first(value, ignorenulls=True))
         columns += _statistics(metric, points, scales.get(metric), value, oldest, centred, over)
-    full = (over(F.count("_elapsed")) == points) & (F.col("_elapsed") >= grid.window_us)
-    return columns, full
+    whole = F.col("_elapsed").isNotNull()
+    for metric in metrics:
+        whole = whole & F.col(metric).isNotNull()
+    # As many rows as points, each with all its metrics, and every point hit: a repeated row cannot hide a
+    # missing one.
+    full = (over(F.count("_elapsed")) == points) & (over(F.count(F.when(whole, 1))) == points)
+    for hit in _points_hit(position, points):
+        full = full & (over(F.bit_or(hit[0])) == hit[1])
+    return columns, full & (F.col("_elapsed") >= grid.window_us)
+
+
+def _points_hit(position: Column, points: int) -> list[tuple[Column, int]]:
+    """Bits of the window's points by position, in words of 60, and what each word is when all are hit."""
+    slot = F.pmod(position, F.lit(points))
+    words = []
+    for first in range(0, points, 60):
+        size = min(60, points - first)
+        inside = slot.between(first, first + size - 1)
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (slot - first).cast("int"))
+        words.append((F.when(inside, bit), (1 << size) - 1))
+    return words
 
 
 def point_in_time_features(
@@ -207,13 +226,21 @@ def point_in_time_features(
         first = F.max(F.when(F.col("_back") == points - 1, value))
         centred = F.sum((points - 1 - 2 * F.col("_back")) * value)
         aggregates += _statistics(metric, points, scales.get(metric), newest, first, centred)
-    built = pairs.groupBy(*request_key).agg(F.count(F.lit(1)).alias("_found"), *aggregates)
+    whole = F.lit(True)
+    for metric in METRICS:
+        whole = whole & F.col(metric).isNotNull()
+    # A window has few points, so the set of those found is small.
+    built = pairs.groupBy(*request_key).agg(
+        F.size(F.collect_set(F.when(whole, F.col("_back")))).cast("bigint").alias("_found"),
+        F.count(F.lit(1)).alias("_rows"),
+        *aggregates,
+    )
     joined = requests.join(built, request_key, "left")
-    found = F.coalesce("_found", F.lit(0))
+    found = F.coalesce("_found", F.lit(0).cast("bigint"))
     return joined.select(
         *requests.columns,
         (points - found).alias("missing_points"),
-        *[F.when(found == points, F.col(f)).alias(f) for f in FEATURES],
+        *[F.when((found == points) & (F.col("_rows") == points), F.col(f)).alias(f) for f in FEATURES],
     )
 
 
@@ -238,12 +265,17 @@ def unmatched_features(features: DataFrame, labels: DataFrame, keys=("service_id
 def feature_matrix(df: DataFrame) -> DataFrame:
     """Strict inference boundary: exact names, order and type; returns the non-finite rows."""
     if tuple(df.columns) != FEATURES:
-        raise ValueError("Feature columns must match the allowlist in order")
+        raise ValueError("Expected exactly the feature columns, in the order of the contract")
     wrong = [field.name for field in df.schema if field.dataType.simpleString() != "double"]
     if wrong:
         raise ValueError(f"Features must be doubles: {wrong}")
+    return df.where(not_finite_row())
+
+
+def not_finite_row() -> Column:
+    """Whether a feature of the row is missing or not finite."""
     bad = F.lit(False)
     for name in FEATURES:
         column = F.col(name)
         bad = bad | column.isNull() | F.isnan(column) | (F.abs(column) == float("inf"))
-    return df.where(bad)
+    return bad

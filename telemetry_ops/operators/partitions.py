@@ -23,12 +23,14 @@ def assign_partitions(
 
     ``runs`` has ``run_id, group, start, end`` (half-open coverage). Runs of group ``development``
     are cut at the given fractions of their length; other runs are one partition named after the
-    group. The stages are a fixed list, so they become a CASE expression and need no range join.
+    group. Rows of a run that ``runs`` does not list are purged. The stages are a fixed list, so they
+    become a CASE expression and need no range join.
     """
     us, start, end = grid.us("timestamp"), F.col("_start"), F.col("_end")
     joined = rows.join(
         runs.select("run_id", "group", grid.us("start").alias("_start"), grid.us("end").alias("_end")),
         "run_id",
+        "left",
     )
     stage = F.when(
         (F.col("group") != "development") & inside_partition(grid, us, start, end), F.col("group")
@@ -54,17 +56,21 @@ def _bounds(start: Column, end: Column, lower: float, upper: float) -> tuple[Col
 def onset_partition(
     incidents: DataFrame, runs: DataFrame, grid: Grid, stages: list[tuple[str, float, float]]
 ) -> DataFrame:
-    """Adds ``onset_partition`` by the half-open interval that holds the onset (no purge)."""
+    """Adds ``onset_partition`` by the half-open interval that holds the onset (no purge).
+
+    Incidents of unlisted runs keep a null group and partition ``purged``.
+    """
     us, start, end = grid.us("incident_start"), F.col("_start"), F.col("_end")
     joined = incidents.join(
         runs.select("run_id", "group", grid.us("start").alias("_start"), grid.us("end").alias("_end")),
         "run_id",
+        "left",
     )
     found = F.when(F.col("group") != "development", F.col("group"))
     for name, lower, upper in stages:
         low, high = _bounds(start, end, lower, upper)
         found = found.when((us >= low) & (us < high), F.lit(name))
-    return joined.withColumn("onset_partition", found.otherwise(F.col("group"))).drop("_start", "_end")
+    return joined.withColumn("onset_partition", F.coalesce(found.otherwise(F.col("group")), F.lit(PURGED))).drop("_start", "_end")
 
 
 def partition_bounds(runs: DataFrame, grid: Grid, stages) -> DataFrame:

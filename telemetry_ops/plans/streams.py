@@ -17,19 +17,23 @@ from telemetry_ops.streaming import jobs
 from telemetry_ops.streaming.runner import local_state_partitions
 
 _M = ", ".join(METRICS)
-FILES = 4
 LATENESS = "40 days"  # files written at once are read in any order
 END_MARK = "~end"  # service of the closing row that moves the watermark past all data
 
 
-def arriving(t, df: DataFrame, order: str, times: tuple[str, ...], close: bool = False) -> DataFrame:
-    """Write a table as files in time order and read it back as a stream, one file per batch.
+def arriving(
+    t, df: DataFrame, order: str, times: tuple[str, ...], close: bool = False, files_per_batch: int | None = None
+) -> DataFrame:
+    """Write a table as files in time order and read it back as a stream.
+
+    The session's shuffle settings decide on the number of files, and a batch has as many as there are cores
+    unless told otherwise.
 
     ``times`` become zoned timestamps. With ``close`` a last file holds a row far in the future.
     """
     path = new_folder(t.spark, "arriving")
     zoned = df.select(*[F.col(c).cast("timestamp").alias(c) if c in times else F.col(c) for c in df.columns])
-    zoned.repartitionByRange(FILES, order).write.parquet(path)
+    zoned.repartitionByRange(order).write.parquet(path)
     if close:
         late = F.lit(datetime(2024, 12, 31)).cast("timestamp")
         row = [
@@ -39,7 +43,8 @@ def arriving(t, df: DataFrame, order: str, times: tuple[str, ...], close: bool =
             for f in zoned.schema
         ]
         t.spark.range(1).select(*row).write.mode("append").parquet(path)
-    return t.spark.readStream.schema(zoned.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    batch = files_per_batch or t.spark.sparkContext.defaultParallelism
+    return t.spark.readStream.schema(zoned.schema).option("maxFilesPerTrigger", batch).parquet(path)
 
 
 def _state(t):

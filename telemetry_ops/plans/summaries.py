@@ -187,7 +187,7 @@ def label_balance(t):
     return describe.label_balance(t.labels)
 
 
-_DESCRIBED = [m for m in METRICS if m != "dependency_latency_ms"]
+_DESCRIBED = list(METRICS)
 
 
 @query(
@@ -226,6 +226,16 @@ def counts_by_type(t):
     return describe.counts_by_category(t.incidents, "incident_type", list(INCIDENT_TYPES))
 
 
+@query(
+    "counts_by_service",
+    """SELECT s.service_id, count(i.incident_id) AS rows FROM (SELECT DISTINCT service_id FROM telemetry) AS s
+        LEFT JOIN incidents AS i USING (service_id) GROUP BY s.service_id""",
+)
+def counts_by_service(t):
+    counts = t.incidents.groupBy("service_id").agg(F.count(F.lit(1)).alias("n"))
+    return t.services.join(counts, "service_id", "left").select("service_id", F.coalesce("n", F.lit(0)).alias("rows"))
+
+
 @query(
     "duration_stats",
     """SELECT min(m) AS min_minutes, round(avg(m), 9) AS mean_minutes, max(m) AS max_minutes FROM (

@@ -366,7 +366,7 @@ def _stage_case() -> str:
     )
 
 
-_TEXT = "strftime({}, '%Y-%m-%dT%H:%M:%S') || '+00:00'"
+_TEXT = "strftime({}, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00'"
 
 CTES: dict[str, str] = {
     "telemetry": f"""

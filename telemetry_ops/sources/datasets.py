@@ -74,12 +74,14 @@ def read_dataset(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def table_fingerprint(df: DataFrame, name: str) -> DataFrame:
-    """Row count and an order-insensitive digest: the sum of a prefix of each row's SHA-256."""
+    """Row count and an order-insensitive digest: the four 64-bit words of each row's SHA-256, summed."""
     body = F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"})
-    word = F.conv(F.substring(F.sha2(body, 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(word), F.lit(0)).cast("string").alias("digest")
-    ).select(F.lit(name).alias("table"), "rows", "digest")
+    row = F.sha2(body, 256)
+    words = [F.conv(F.substring(row, 1 + 16 * i, 16), 16, 10).cast("decimal(38,0)") for i in range(4)]
+    sums = [F.coalesce(F.sum(w), F.lit(0)).cast("string") for w in words]
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.concat_ws("-", *sums).alias("digest")).select(
+        F.lit(name).alias("table"), "rows", "digest"
+    )
 
 
 def manifest_differences(stored: DataFrame, found: DataFrame) -> DataFrame:
@@ -173,7 +175,7 @@ def write_matrix(rows: DataFrame, path: str) -> None:
     """Headerless comma-separated rows (``machine, ordinal, values``), one folder per machine.
 
     Rows are range-partitioned by machine and ordinal, so a long machine spans several files whose
-    names sort in row order.
+    numbers ascend in row order.
     """
     (
         rows.repartitionByRange("machine", "ordinal")
@@ -199,7 +201,12 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
         machine = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
     lines = lines.select(
         machine.alias("machine"),
-        F.struct("_metadata.file_path", "_metadata.file_block_start").alias("_block"),
+        # Part numbers have five digits or more, so they are compared as numbers.
+        F.struct(
+            F.coalesce(F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("bigint"), F.lit(-1).cast("bigint")).alias("part"),
+            "_metadata.file_path",
+            "_metadata.file_block_start",
+        ).alias("_block"),
         F.monotonically_increasing_id().alias("_line"),
         "value",
     ).where("value <> ''")

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from telemetry_ops.grid import METRICS, Grid
 from telemetry_ops.operators.drift import DriftConfig, bin_counts, stability_of_counts
-from telemetry_ops.operators.features import _fixed_point, _statistics
+from telemetry_ops.operators.features import _fixed_point, _points_hit, _statistics
 from telemetry_ops.operators.quality import parse_records
 from telemetry_ops.operators.summaries import ingest_merge, unscored_requests
 from telemetry_ops.streaming.runner import append_new, around, read_table, run_available
@@ -84,17 +84,20 @@ def sliding_features(
 
     ``(t-W, t]`` is the sliding window of the time just before each row, closed on the right. State
     is keyed by (service, window), so a busy service is spread over its windows, and a late row can
-    still complete a window until the watermark passes. Telemetry keys must be unique.
+    still complete a window until the watermark passes. Windows start at the grid's phase; rows off the grid
+    are left out, and a null metric or a repeated key makes its windows incomplete.
     """
     points = grid.window_points
-    rows = telemetry.select(
+    phase = grid.phase_us
+    on_grid = F.pmod(F.unix_micros("timestamp") - phase, F.lit(grid.step_us)) == 0
+    rows = telemetry.where(on_grid).select(
         "service_id",
         F.col("timestamp").alias("_at"),
         (F.col("timestamp") - F.expr("INTERVAL 1 MICROSECOND")).alias("_before"),
         *_fixed_point(scales or {}, metrics),
     ).withWatermark("_before", delay)
     length, slide = f"{points * grid.step_seconds} seconds", f"{grid.step_seconds} seconds"
-    rows = rows.withColumn("_window", F.window("_before", length, slide))
+    rows = rows.withColumn("_window", F.window("_before", length, slide, f"{phase} microseconds"))
     back = F.call_function(
         "div", F.timestamp_diff("SECOND", F.col("_at"), F.col("_window.end")), F.lit(grid.step_seconds)
     )
@@ -106,13 +109,22 @@ def sliding_features(
         oldest = F.max(F.when(F.col("_back") == points - 1, value))
         centred = F.sum((points - 1 - 2 * F.col("_back")) * value)
         aggregates += _statistics(metric, points, (scales or {}).get(metric), newest, oldest, centred)
-    built = rows.groupBy("service_id", "_window").agg(F.count(F.lit(1)).alias("_found"), *aggregates)
+    whole = F.lit(True)
+    for metric in metrics:
+        whole = whole & F.col(metric).isNotNull()
+    hits = _points_hit(F.when(whole, F.col("_back")), points)
+    built = rows.groupBy("service_id", "_window").agg(
+        F.count(F.lit(1)).alias("_found"), *[F.bit_or(bits).alias(f"_hit{i}") for i, (bits, _) in enumerate(hits)], *aggregates
+    )
+    complete = F.col("_found") == points
+    for i, (_, mask) in enumerate(hits):
+        complete = complete & (F.col(f"_hit{i}") == mask)
     at = F.col("_window.end")
     first = F.timestamp_add("SECOND", F.lit(grid.window_seconds).cast("bigint"), coverage_start)
     return (
-        built.where((F.col("_found") == points) & (at >= first))
+        built.where(complete & (at >= first))
         .withColumn("timestamp", at.cast("timestamp_ntz"))
-        .drop("_window", "_found")
+        .drop("_window", "_found", *[f"_hit{i}" for i in range(len(hits))])
     )
 
 
@@ -141,17 +153,21 @@ def score_stream(
     keys = ["service_id", "timestamp", "model_id"]
 
     def handle(batch: DataFrame, _: int) -> None:
-        rows = batch.withColumn("model_id", F.lit(model_id)).dropDuplicates(keys)
+        # Read twice, for its bounds and for the scores; the state behind it must not be advanced twice.
+        rows = batch.withColumn("model_id", F.lit(model_id)).dropDuplicates(keys).persist()
         schema = T.StructType(
             [f for f in rows.schema if f.name in keys]
             + [T.StructField("probability", T.DoubleType()), T.StructField("produced_at", T.TimestampNTZType())]
         )
-        stored = around(read_table(batch.sparkSession, path, schema), rows, "timestamp")
-        fresh = unscored_requests(rows, stored, tuple(keys))
-        scored = score(fresh).select(
-            *[f.name for f in schema if f.name in keys], "probability", now.alias("produced_at")
-        )
-        scored.write.mode("append").parquet(path)
+        try:
+            stored = around(read_table(batch.sparkSession, path, schema), rows, "timestamp")
+            fresh = unscored_requests(rows, stored, tuple(keys))
+            scored = score(fresh).select(
+                *[f.name for f in schema if f.name in keys], "probability", now.alias("produced_at")
+            )
+            scored.write.mode("append").parquet(path)
+        finally:
+            rows.unpersist()
 
     run_available(features, handle, checkpoint, "update", state_partitions)
 
