@@ -8,6 +8,7 @@ replicate. What precedes a bucket enters as one total per replicate.
 from __future__ import annotations
 
 from functools import lru_cache
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -22,8 +23,12 @@ BLOCK_CELLS = 4_000_000
 
 
 def replicate_weights(seed: int, replicate: int, runs: int) -> np.ndarray:
-    """How often each run is drawn in one replicate (``runs`` draws with replacement)."""
-    draws = np.random.default_rng([seed, replicate]).integers(runs, size=runs)
+    """How often each run is drawn in one replicate (``runs`` draws with replacement).
+
+    A draw is 32 bits of an MD5 over seed, replicate and number, so that any engine can repeat it.
+    """
+    texts = (f"{seed}:{replicate}:{i}" for i in range(runs))
+    draws = [int(md5(t.encode()).hexdigest()[:8], 16) % runs for t in texts]
     return np.bincount(draws, minlength=runs)
 
 

@@ -347,10 +347,40 @@ def metrics_by_group(t):
     return parts[0].unionByName(parts[1])
 
 
-@query("bootstrap_ci")
+_BOUNDS = ("average_precision", "incident_detection_rate")
+
+
+@query(
+    "bootstrap_ci",
+    f"""WITH g AS (SELECT *, row_number() OVER (PARTITION BY partition, candidate ORDER BY run_id) - 1 AS k,
+            count(*) OVER (PARTITION BY partition, candidate) AS groups
+          FROM (SELECT DISTINCT partition, candidate, run_id FROM predictions)),
+        i AS (SELECT partition, candidate, groups, unnest(range(groups)) AS i FROM (SELECT DISTINCT partition,
+            candidate, groups FROM g)),
+        w AS (SELECT partition, candidate, rep,
+            CAST('0x' || substr(md5('2026:' || rep || ':' || i), 1, 8) AS BIGINT) % groups AS k, count(*) AS w
+          FROM i CROSS JOIN range(200) AS r(rep) GROUP BY ALL),
+        x AS (SELECT partition, candidate, rep, probability, sum(w) AS n, sum(target * w) AS pos
+          FROM predictions JOIN g USING (partition, candidate, run_id) JOIN w USING (partition, candidate, k)
+          GROUP BY ALL),
+        ap AS (SELECT partition, candidate, rep, coalesce(sum(pos * p / n::DOUBLE) / nullif(sum(pos), 0), 0)
+            AS average_precision
+          FROM (SELECT partition, candidate, rep, pos, sum(pos) OVER o AS p, sum(n) OVER o AS n FROM x
+                WINDOW o AS (PARTITION BY partition, candidate, rep ORDER BY probability DESC)) GROUP BY ALL),
+        d AS (SELECT partition, candidate, rep, sum(CASE WHEN detected THEN w ELSE 0 END) / sum(w)::DOUBLE
+            AS incident_detection_rate
+          FROM ({_results(_PLACE, str(THRESHOLD))}) JOIN g USING (partition, candidate, run_id)
+          JOIN w USING (partition, candidate, k) GROUP BY ALL)
+       SELECT partition, candidate, groups, {", ".join(
+           f"CASE WHEN groups >= 2 THEN round(quantile_cont({c}, {q}), 9) END AS {c}_{side}"
+           for c in _BOUNDS for side, q in (("low", 0.025), ("high", 0.975)))}
+       FROM (SELECT DISTINCT partition, candidate, groups FROM g)
+       LEFT JOIN ap USING (partition, candidate) LEFT JOIN d USING (partition, candidate, rep) GROUP BY partition, candidate, groups""",
+)
 def bootstrap_ci(t):
     events = episodes.incident_results(t.predictions, t.run_incidents, t.grid, GROUP, THRESHOLD)
-    return bootstrap.grouped_uncertainty(t.predictions, events, GROUP, seed=2026, repeats=200)
+    found = bootstrap.grouped_uncertainty(t.predictions, events, GROUP, seed=2026, repeats=200)
+    return rounded(found, *[f"{c}_{side}" for c in _BOUNDS for side in ("low", "high")])
 
 
 @query(
