@@ -337,6 +337,21 @@ def snapshot_identity(t):
     return t.snapshots.select("id", "kind", "start", "end", "cutoff", "model_id", "reference_id")
 
 
+@query(
+    "broken_seals",
+    """SELECT id, samples + 1 AS samples FROM snapshots WHERE samples % 7 = 3
+       UNION ALL SELECT id, samples FROM snapshots WHERE samples % 7 = 4""",
+)
+def broken_seals(t):
+    """Sealed snapshots, stored; some lose a sample's worth of truth afterwards, some their seal."""
+    stored = snapshots.sealed(t.snapshots)
+    kind = F.col("samples") % 7
+    hurt = stored.withColumn("seal", F.when(kind != 4, F.col("seal"))).withColumn(
+        "samples", F.when(kind == 3, F.col("samples") + 1).otherwise(F.col("samples"))
+    )
+    return snapshots.broken_seals(hurt).select("id", "samples")
+
+
 @query(
     "snapshot_history",
     """SELECT * FROM snapshots WHERE kind = 'drift' AND "start" >= TIMESTAMP '2024-01-03'

@@ -116,7 +116,7 @@ def stream_score(t):
     return t.spark.read.parquet(path).select("service_id", "timestamp", "model_id", "probability")
 
 
-_DRIFTED = ("request_rate_rps", "latency_p95_ms", "error_rate")
+_DRIFTED = METRICS
 
 
 @query(
@@ -174,12 +174,10 @@ def stream_drift(t):
     """SELECT id, service_id, timestamp, probability, CAST(EXISTS (SELECT 1 FROM incident_starts AS i
          WHERE i.service_id = p.service_id AND i."start" > p.timestamp
            AND i."start" <= p.timestamp + INTERVAL 10 HOUR) AS BIGINT) AS target
-       FROM stored_predictions AS p WHERE model_id = 'model-mean'""",
+       FROM stored_predictions AS p""",
 )
 def stream_delayed(t):
-    predictions = t.stored_predictions.where("model_id = 'model-mean'").select(
-        "id", "service_id", "timestamp", "probability"
-    )
+    predictions = t.stored_predictions.select("id", "service_id", "timestamp", "probability")
     onsets = t.incident_starts.select("service_id", "start")
     path = new_folder(t.spark, "delayed")
     jobs.delayed_stream(

@@ -16,7 +16,7 @@ from telemetry_ops.grid import METRICS, TARGET, Grid, moment
 from telemetry_ops.operators.features import labelled_features, window_features
 from telemetry_ops.operators.labels import future_labels
 from telemetry_ops.operators.partitions import assign_partitions
-from telemetry_ops.operators.snapshots import utc_text
+from telemetry_ops.operators.snapshots import identity, utc_text
 from telemetry_ops.sources.events import (
     incidents_from_telemetry,
     service_of,
@@ -287,15 +287,8 @@ class Tables:
 
 def identity_of_snapshot():
     """Identity over the kind, the interval, the UTC cutoff, the model and the reference."""
-    body = F.struct(
-        F.col("_cutoff").alias("cutoff"),
-        F.col("_end").alias("end"),
-        "kind",
-        "model_id",
-        "reference_id",
-        F.col("_start").alias("start"),
-    )
-    return F.sha2(F.to_json(body), 256)
+    texts = {"cutoff": F.col("_cutoff"), "end": F.col("_end"), "start": F.col("_start")}
+    return identity(texts | {c: F.col(c) for c in ("kind", "model_id", "reference_id")})
 
 
 _HOUR = "3600000000"

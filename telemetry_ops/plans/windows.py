@@ -93,7 +93,7 @@ def onset_partition(t):
     )
 
 
-_ORDINAL = """SELECT service_id AS machine, ordinal, label, latency_p95_ms, error_rate FROM (
+_ORDINAL = f"""SELECT service_id AS machine, ordinal, label, {", ".join(METRICS)} FROM (
   SELECT t.*, row_number() OVER (PARTITION BY service_id ORDER BY step) - 1 AS ordinal,
     CAST(latency_p95_ms > 60 AS BIGINT) AS label FROM telemetry AS t)"""
 
@@ -147,15 +147,13 @@ def ordinal_targets(t):
 
 @query(
     "rolling_mean",
-    f"""SELECT machine, ordinal, latency_p95_ms, error_rate,
-          CASE WHEN count(*) OVER w = 15 THEN round(avg(latency_p95_ms) OVER w, 6) END
-            AS latency_p95_ms__mean,
-          CASE WHEN count(*) OVER w = 15 THEN round(avg(error_rate) OVER w, 6) END AS error_rate__mean
+    f"""SELECT machine, ordinal, {", ".join(METRICS)}, {", ".join(
+          f"CASE WHEN count(*) OVER w = 15 THEN round(avg({m}) OVER w, 6) END AS {m}__mean" for m in METRICS)}
         FROM ({_ORDINAL})
         WINDOW w AS (PARTITION BY machine ORDER BY ordinal ROWS BETWEEN 14 PRECEDING AND CURRENT ROW)""",
 )
 def rolling_mean(t):
-    values = ["latency_p95_ms", "error_rate"]
+    values = list(METRICS)
     found = partitions.rolling_mean(
         ordinal_rows(t), "machine", "ordinal", values, 15, t.grid.chunk_points
     )
