@@ -18,6 +18,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SLICE_BYTES = 2 << 20
 
 
+#: Bytes of one Arrow batch between the JVM and a Python worker; both sides hold it at once.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Bounds the Arrow batches of the frame's session, since texts may be long; returns the frame."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -27,6 +37,22 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def most_frequent(counts: DataFrame, item: str, n: str, limit: int) -> pd.DataFrame:
+    """At most ``limit`` items with the largest counts, most frequent first, on the driver.
+
+    The counts' own distribution, at most some ten thousand steps of a logarithmic scale, tells from which
+    step on they fit; items of the step that no longer fits stay out. No task sends more than its share.
+    """
+    step = F.floor(F.log2(F.col(n).cast("double")) * 1024)
+    steps = counts.groupBy(step.alias("step")).agg(F.count("*").alias("items")).toPandas().sort_values("step", ascending=False)
+    fit = steps[steps["items"].cumsum() <= limit]
+    least = int(fit["step"].min()) if len(fit) else None
+    if least is None:
+        return pd.DataFrame({item: [], n: []})
+    found = counts.where(step >= least).select(item, n).toPandas()
+    return found.sort_values([n, item], ascending=[False, True], ignore_index=True)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive rows of a batch with about ``limit`` bytes of the binary column, one row at least."""
     if not batch.num_rows:

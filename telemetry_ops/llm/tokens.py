@@ -11,20 +11,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemetry_ops.llm.text import column, lists, slices
+from telemetry_ops.llm.text import column, lists, slices, small_batches
 
 MARK = "\u2581"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-#: Stands for U+2581 in a text, which is spelt in bytes; no word has a space.
-LITERAL = " "
+#: Stands for U+2581 in a text, which is spelt in bytes; words have no space of their own.
+LITERAL = " " + MARK
 #: Offset of the Zipf-Mandelbrot law that turns ranks into probabilities.
 OFFSET = 1000.0
 #: Words of equal length that advance together, at most.
@@ -64,6 +64,9 @@ class Vocabulary:
         order = np.argsort(keys)
         self.keys = keys[order]
         assert (self.keys[1:] != self.keys[:-1]).all(), "Two pieces share a hash"
+        #: Leading bits of the keys: most substrings are no piece, and are told so without a search.
+        self.leading = np.zeros(1 << 20, bool)
+        self.leading[self.keys >> np.uint64(44)] = True
         self.ids = np.array(normal, np.int32)[order]
         norm = np.log(np.sum(1.0 / (np.arange(len(normal)) + OFFSET)))
         self.scores = np.array([-np.log(rank[i] + OFFSET) - norm for i in normal])[order]
@@ -72,6 +75,9 @@ class Vocabulary:
         for b, i in enumerate(self.byte_ids):
             if i >= 0:
                 self.bytes_of[i] = bytes([b])
+        self.byte_size = np.array([len(b) for b in self.bytes_of], np.int64)
+        self.byte_start = np.cumsum(self.byte_size) - self.byte_size
+        self.byte_pool = np.frombuffer(b"".join(self.bytes_of), np.uint8)
 
 
 @lru_cache(maxsize=4)
@@ -92,46 +98,73 @@ def _powers(n: int) -> np.ndarray:
 
 
 def _same_length(words: list[str], v: Vocabulary) -> list[np.ndarray]:
-    """Piece ids of words that all have the same length."""
+    """Piece ids of words that all have the same length. Arrays are by position, then word."""
     n, m = len(words[0]), len(words)
-    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, n).astype(np.uint64) + np.uint64(1)
-    prefix = np.zeros((m, n + 1), np.uint64)
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, n)
+    codes = np.ascontiguousarray(codes.T).astype(np.uint64) + np.uint64(1)
+    prefix = np.zeros((n + 1, m), np.uint64)
     for i in range(n):
-        prefix[:, i + 1] = prefix[:, i] * _FACTOR + codes[:, i]
+        prefix[i + 1] = prefix[i] * _FACTOR + codes[i]
     power = _powers(min(n, v.longest))
     width = np.where(codes > 0x10000, 4, np.where(codes > 0x800, 3, np.where(codes > 0x80, 2, 1)))
-    best = np.full((m, n + 1), -np.inf)
-    best[:, 0] = 0
-    back = np.zeros((m, n + 1), np.int32)
-    piece = np.full((m, n + 1), -1, np.int32)
-    rows = np.arange(m)
+    best = np.full((n + 1, m), -np.inf)
+    best[0] = 0
+    back = np.zeros((n + 1, m), np.int32)
+    piece = np.full((n + 1, m), -1, np.int32)
     for end in range(1, n + 1):
-        top = best[:, end - 1] + v.byte_score * width[:, end - 1]
-        start = np.full(m, end - 1, np.int32)
-        which = np.full(m, -1, np.int32)
+        top, start, which = best[end], back[end], piece[end]
+        top[:] = best[end - 1] + v.byte_score * width[end - 1]
+        start[:] = end - 1
         for length in range(1, min(end, v.longest) + 1):
-            key = prefix[:, end] - prefix[:, end - length] * power[length]
+            key = prefix[end] - prefix[end - length] * power[length]
+            some = np.flatnonzero(v.leading[key >> np.uint64(44)])
+            if not len(some):
+                continue
+            key = key[some]
             at = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
-            score = np.where(v.keys[at] == key, best[:, end - length] + v.scores[at], -np.inf)
-            better = score > top
-            top = np.where(better, score, top)
-            start = np.where(better, end - length, start)
-            which = np.where(better, v.ids[at], which)
-        best[:, end], back[:, end], piece[:, end] = top, start, which
-    at = np.full(m, n)
-    steps: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    while (live := at > 0).any():
-        steps.append((live, np.where(live, back[rows, at], 0), piece[rows, at]))
-        at = steps[-1][1]
-    out: list[list[int]] = [[] for _ in words]
-    for live, start, which in reversed(steps):
-        for i in np.flatnonzero(live).tolist():
-            if which[i] >= 0:
-                out[i].append(int(which[i]))
-            else:
-                c = words[i][start[i]].replace(MARK, " ")
-                out[i].extend(v.byte_ids[list(c.encode("utf-8", "surrogatepass"))].tolist())
-    return [np.array(o, np.int32) for o in out]
+            score = np.where(v.keys[at] == key, best[end - length][some] + v.scores[at], -np.inf)
+            better = score > top[some]
+            some, at = some[better], at[better]
+            top[some] = score[better]
+            start[some] = end - length
+            which[some] = v.ids[at]
+    # All words go back together; their pieces fill the columns of a matrix from the right.
+    rows = np.arange(m)
+    taken = np.zeros((m, n), np.int32)
+    at, used = np.full(m, n), n
+    first = np.full(m, n)
+    while (live := np.flatnonzero(at > 0)).size:
+        used -= 1
+        taken[live, used] = piece[at[live], live]
+        first[live] = used
+        at[live] = back[at[live], live]
+    # A word that ends early in this count has its pieces at the right end as well.
+    sizes = n - first
+    flat = taken[np.repeat(rows, sizes), np.repeat(first, sizes) + _within(sizes)]
+    ends = np.cumsum(sizes).tolist()
+    out = [flat[i:j] for i, j in zip([0, *ends], ends)]
+    for i in np.unique(np.repeat(rows, sizes)[flat < 0]).tolist():
+        out[i] = _spelt(words[i], back[:, i], piece[:, i], v)
+    return out
+
+
+def _within(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, .. inside each run of the given sizes."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+
+
+def _spelt(word: str, back: np.ndarray, piece: np.ndarray, v: Vocabulary) -> np.ndarray:
+    """Pieces of a word with a character that goes into bytes."""
+    found, at = [], len(word)
+    while at > 0:
+        start = int(back[at])
+        if piece[at] >= 0:
+            found.append(np.array([piece[at]], np.int32))
+        else:
+            found.append(v.byte_ids[list(word[start:at].replace(MARK, " ").encode("utf-8", "surrogatepass"))])
+        at = start
+    return np.concatenate(found[::-1])
 
 
 def encode_words(words: list[str], v: Vocabulary) -> list[np.ndarray]:
@@ -150,69 +183,117 @@ def encode_words(words: list[str], v: Vocabulary) -> list[np.ndarray]:
 
 
 def cut(text: str) -> list[str]:
-    """Words that begin with a run of marks, overlong ones in parts; ``LITERAL`` for a mark in the text."""
+    """Keys of the words: ``w`` is the word ``MARK + w``, and `` w`` the word ``w`` without a mark in front.
+
+    A run of spaces is in front of its word. No piece holds a line feed, which is a word of its own; so is a mark
+    of the text itself, ``LITERAL``. Overlong words come in parts.
+    """
+    plain = MARK not in text and "  " not in text
+    first, *lines = text.split("\n")
+    words = first.split(" ") if plain else _runs(" " + first)
+    for line in lines:
+        words.append(" \n")
+        found = line.split(" ") if plain else _runs(line)
+        if plain and not found[0]:
+            words += found[1:]
+        else:
+            if plain:
+                found[0] = " " + found[0]
+            words += found
+    if len(text) > LONGEST_WORD and max(map(len, words)) > LONGEST_WORD:
+        parts = []
+        for w in words:
+            if len(w) <= LONGEST_WORD:
+                parts.append(w)
+            else:
+                whole = w[1:] if w[0] == " " else MARK + w
+                parts += [" " + whole[i : i + LONGEST_WORD] for i in range(0, len(whole), LONGEST_WORD)]
+        words = parts
+    return words
+
+
+def _runs(line: str) -> list[str]:
+    """Keys of a line whose spaces may come in runs, or that holds marks of its own."""
     words: list[str] = []
-    for k, segment in enumerate((" " + text).split(MARK)):
+    for k, segment in enumerate(line.split(MARK)):
         if k:
             words.append(LITERAL)
-        first, *parts = segment.split(" ")
+        first, *rest = segment.split(" ")
         if first:
-            words.append(first)
+            words.append(" " + first)
         run = ""
-        for part in parts:
-            run += MARK
+        for part in rest:
             if part:
                 words.append(run + part)
                 run = ""
+            else:
+                run += MARK
         if run:
-            words.append(run)
-    if max(map(len, words), default=0) > LONGEST_WORD:
-        words = [w[i : i + LONGEST_WORD] for w in words for i in range(0, len(w), LONGEST_WORD)]
+            words.append(run[1:])
     return words
 
 
-def encode_texts(texts: list[bytes | None], v: Vocabulary, known: dict[str, np.ndarray] | None = None) -> list[np.ndarray]:
-    """Piece ids of each text. ``known`` carries words from call to call; the caller bounds it."""
-    known = {} if known is None else known
-    words = [cut(t.decode("utf-8", "replace")) if t else [] for t in texts]
-    flat = [w for ws in words for w in ws]
-    codes, distinct = pd.factorize(np.array(flat, dtype=object)) if flat else (np.zeros(0, int), [])
-    new = [w for w in distinct if w not in known]
-    literal = v.byte_ids[list(MARK.encode())]
-    for w, ids in zip(new, encode_words(["" if w == LITERAL else w for w in new], v)):
-        known[w] = literal if w == LITERAL else ids
-    per_word = [known[w] for w in distinct]
-    size = np.array([len(p) for p in per_word], np.int64)
-    starts = np.cumsum(size) - size
-    pool = np.concatenate(per_word) if per_word else np.zeros(0, np.int32)
-    out, begin = [], 0
-    for ws in words:
-        own = codes[begin : begin + len(ws)]
-        begin += len(ws)
-        n = size[own]
-        total = int(n.sum())
-        index = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(total)
-        out.append(pool[index])
-    return out
+class Encoder:
+    """Encodes texts; remembers the pieces of words, a bounded number of them."""
+
+    def __init__(self, v: Vocabulary, remembered: int = 400_000):
+        self.v, self.remembered = v, remembered
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.size, self.start, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """Piece ids of each text."""
+        if len(self.place) > self.remembered:
+            self.forget()
+        words = [cut(t.decode("utf-8", "replace")) if t else [] for t in texts]
+        sizes = np.array([len(w) for w in words], np.int64)
+        flat = list(chain.from_iterable(words))
+        place = self.place
+        new = [w for w in set(flat) if w not in place]
+        place.update(zip(new, range(len(place), len(place) + len(new))))
+        literal = self.v.byte_ids[list(MARK.encode())]
+        found = encode_words(["" if w == LITERAL else w[1:] if w[:1] == " " else MARK + w for w in new], self.v)
+        found = [literal if w == LITERAL else ids for w, ids in zip(new, found)]
+        size = np.array([len(f) for f in found], np.int64)
+        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.pool = np.concatenate([self.pool, *found])
+        at = np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))
+        n = self.size[at]
+        ends = np.cumsum(n)
+        ids = self.pool[np.repeat(self.start[at], n) + _within(n)]
+        bounds = np.concatenate([[0], ends])[np.cumsum(sizes)].tolist()
+        return [ids[i:j] for i, j in zip([0, *bounds], bounds)]
+
+
+def encode_texts(texts: list[bytes | None], v: Vocabulary) -> list[np.ndarray]:
+    return Encoder(v).encode(texts)
+
+
+def decode_texts(ids: list[np.ndarray], v: Vocabulary) -> list[bytes]:
+    """The texts' bytes; the space that encoding puts in front goes."""
+    flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+    n = v.byte_size[flat]
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    whole = v.byte_pool[np.repeat(v.byte_start[flat] - (ends - n), n) + np.arange(total)].tobytes()
+    bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, ids)])].tolist()
+    return [whole[a + 1 : b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 def decode_ids(ids: np.ndarray, v: Vocabulary) -> bytes:
-    """The text's bytes; the space that encoding puts in front goes."""
-    return b"".join(map(v.bytes_of.__getitem__, ids))[1:]
-
-
-#: Words that a worker remembers before it starts anew.
-REMEMBERED = 150_000
+    return decode_texts([ids], v)[0]
 
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, known = vocabulary(path), {}
+        encoder = Encoder(vocabulary(path))
         for batch in batches:
             for part in slices(batch, "text"):
-                if len(known) > REMEMBERED:
-                    known.clear()
-                ids = encode_texts(column(part, "text"), v, known)
+                ids = encoder.encode(column(part, "text"))
                 doc = part.column(part.schema.get_field_index("doc_id"))
                 yield pa.record_batch([doc, pa.array([len(i) for i in ids], pa.int64()), lists(ids, pa.int32())], ["doc_id", "n_tokens", "ids"])
 
@@ -224,7 +305,8 @@ def _decode(path: str):
         v = vocabulary(path)
         for batch in batches:
             at = batch.schema.get_field_index("ids")
-            texts = [decode_ids(np.asarray(i), v).decode("utf-8", "replace") if i is not None else "" for i in batch.column(at).to_pylist()]
+            ids = [np.asarray(i if i is not None else [], np.int32) for i in batch.column(at).to_pylist()]
+            texts = [t.decode("utf-8", "replace") for t in decode_texts(ids, v)]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k) for k in range(batch.num_columns) if k != at), pa.array(texts, pa.string())],
                 [*(f.name for k, f in enumerate(batch.schema) if k != at), "text"],
@@ -236,7 +318,7 @@ def _decode(path: str):
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """``doc_id, n_tokens, ids`` of each document. A null or empty text has no token; a repeated row is
     encoded again; columns beyond ``doc_id`` and ``text`` are not read."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(_encode(model), ENCODED)
 
 
@@ -256,14 +338,13 @@ def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, known = vocabulary(model), {}
+        v = vocabulary(model)
+        encoder = Encoder(v)
         for batch in batches:
             for part in slices(batch, "text"):
-                if len(known) > REMEMBERED:
-                    known.clear()
                 texts = column(part, "text")
-                ids = encode_texts(texts, v, known)
-                back = [decode_ids(i, v) for i in ids]
+                ids = encoder.encode(texts)
+                back = decode_texts(ids, v)
                 yield pa.record_batch(
                     [
                         part.column(part.schema.get_field_index("doc_id")),
@@ -275,5 +356,5 @@ def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
                     ["doc_id", "n_tokens", "ids", "decoded_sha256", "exact"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(run, f"{ENCODED}, decoded_sha256 string, exact boolean")
