@@ -11,6 +11,7 @@ per subsequence, looked up in a table.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telemetry_ops.functions.session import broadcast_if_small, stage
-from telemetry_ops.llm.text import column, fold, slices
+from telemetry_ops.llm.text import column, fold, most_frequent, slices, small_batches
 
 DECAY = 0.6
 #: Characters of one kernel window; three of them, the first included, form a subsequence.
@@ -60,8 +61,10 @@ def letter(code: int) -> int:
 
 
 def units(text: str) -> list[str]:
-    """Lower-cased words; runs of single characters are also taken together, as in ``b a d``."""
+    """Lower-cased words; words with other characters inside also without them, as ``b-a-d``, and runs of single
+    characters also together, as ``b a d``."""
     words = text.lower().split()
+    words += [_OTHER.sub("", w) for w in words if not w.isalnum() and _INSIDE.search(w)]
     run: list[str] = []
     extra = []
     for w in [*words, "  "]:
@@ -74,6 +77,9 @@ def units(text: str) -> list[str]:
     return words + extra
 
 
+_OTHER, _INSIDE = re.compile(r"[\W_]+"), re.compile(r"[^\W_][\W_]+[^\W_]")
+
+
 def parts(word: str) -> list[str]:
     if len(word) <= LONGEST:
         return [word]
@@ -264,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine:
     """
     marked = labels.where("toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     marked = broadcast_if_small(marked, marked.count(), 16)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     learn = rows.where(fold(F.col("doc_id"), FOLDS) != HELD).join(marked, "doc_id").select("text", "toxic")
     contexts = (
         learn.where("toxic = 1").select("text").mapInArrow(_contexts, "word string, context long").distinct()
@@ -274,9 +280,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine:
     counts = counts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     share = (F.col("toxic") / (F.col("toxic") + F.col("other"))).alias("share")
     words = stage(counts.join(contexts, "word", "left").select("word", "contexts", "other", share), "toxic-words")
-    found = words.where("contexts is not null and share >= 0.8").orderBy(F.desc("contexts"), "word").limit(INSTANCES).toPandas()
+    found = most_frequent(words.where("contexts is not null and share >= 0.8"), "word", "contexts", INSTANCES)
     rest = words.where("share < 0.5 and other >= 2")
-    common = rest.orderBy(F.desc("other"), "word").limit(INSTANCES // 2).toPandas()
+    common = most_frequent(rest, "word", "other", INSTANCES // 2)
     positive = list(zip(found["word"], found["contexts"].astype(float)))
     negative = dict(zip(common["word"], np.sqrt(common["other"])))
     machine = train(positive, list(negative.items()))
