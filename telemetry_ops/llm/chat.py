@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemetry_ops.llm.text import slices
+from telemetry_ops.llm.text import slices, small_batches
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 _CONTROL = re.compile(r"\\|<(?=\||/?s>|</?SYS>>|/?SYS>>)|\[(?=/?INST\])")
@@ -131,7 +131,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     """
     one = F.struct(F.lit("text").alias("kind"), F.col("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("long").alias("units"))
     parts = F.col("parts").cast(f"array<{PART}>") if "parts" in turns.columns else F.array(one)
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", parts.alias("parts"))
+    rows = small_batches(turns).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", parts.alias("parts"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", F.asc_nulls_last("turn"), "role", "parts")
     sized = F.concat_ws("", F.transform("parts", lambda p: p.getField("text"))).cast("binary")
     return rows.select("conv_id", "role", "parts", sized.alias("sized")).mapInArrow(_format, PIECES)

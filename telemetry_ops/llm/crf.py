@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemetry_ops.llm.text import column, fold, slices
+from telemetry_ops.llm.text import column, fold, slices, small_batches
 
 FOLDS, HELD = 5, 0
 UNKNOWN = "und"
@@ -220,7 +220,7 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame) -> Field:
     """Learn from at most ``SAMPLE_ROWS`` documents with a text and a language outside the held fold, chosen by
     a hash of text and id, evenly over languages."""
-    rows = docs.where("text is not null and lang is not null").where(fold(F.col("doc_id"), FOLDS) != HELD)
+    rows = small_batches(docs).where("text is not null and lang is not null").where(fold(F.col("doc_id"), FOLDS) != HELD)
     counts = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LABELS).select("lang").collect()]
     each = max(1, SAMPLE_ROWS // max(1, len(counts)))
     chosen = None

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telemetry_ops.llm.text import column, slices
+from telemetry_ops.llm.text import column, slices, small_batches
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1000003, 1299709)
@@ -221,7 +221,7 @@ def prefix_fingerprints(docs: DataFrame) -> DataFrame:
     ``doc_id`` and ``text`` are not read. The text is shuffled once, into buckets of consecutive ids;
     each bucket also gets the first row of the next.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     size = texts.where("doc_id is not null").agg(F.sum(F.octet_length("text")), F.max("doc_id")).first()
     wanted = min(BUCKETS, max(1, -(-(size[0] or 0) // BUCKET_BYTES)))
     ids = texts.select("doc_id").where("doc_id is not null")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemetry_ops.functions.session import broadcast_if_small, stage
-from telemetry_ops.llm.text import column, slices, split_words
+from telemetry_ops.llm.text import column, slices, small_batches, split_words
 
 WINDOW = 5
 RULES = ("symbols", "caps", "dup_lines", "repeats")
@@ -84,7 +84,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def text_counts(docs: DataFrame, stratum: Column) -> DataFrame:
     """One row of ``COUNTS`` per document. Null and empty texts have no words, lines or ratios above 0."""
-    rows = docs.select(
+    rows = small_batches(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"), stratum.cast("string").alias("stratum"), F.col("text").cast("binary").alias("text")
     )
     return rows.mapInArrow(_counts, COUNTS)
