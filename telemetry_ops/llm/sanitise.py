@@ -135,7 +135,8 @@ def disclosing_terms(texts: DataFrame) -> DataFrame:
     together = stage(together.join(entities, "entity"), "term-counts")
     wanted = together.select("term").distinct()
     n_wanted = wanted.count()
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
+    # The outer form spares a test for an empty list, which would make the list twice; null joins nothing.
+    words = texts.select(F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
     counts = words.join(broadcast_if_small(wanted, n_wanted, 64), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     total = max(1, texts.count())
     p = lambda c: F.col(c) / F.lit(float(total))
