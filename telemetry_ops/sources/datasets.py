@@ -73,9 +73,28 @@ def read_dataset(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return tables
 
 
-def table_fingerprint(df: DataFrame, name: str) -> DataFrame:
-    """Row count and an order-insensitive digest: the four 64-bit words of each row's SHA-256, summed."""
-    body = F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"})
+def typed_text(df: DataFrame) -> Column:
+    """A row's columns, sorted by name, as text that any engine can write: times as microseconds, doubles as
+    millionths (finer differences are left to the JSON form)."""
+    kinds = {"timestamp": F.unix_micros, "timestamp_ntz": lambda c: F.unix_micros(c.cast("timestamp"))}
+
+    def text(name):
+        kind = dict(df.dtypes)[name]
+        value = F.col(name)
+        if kind in ("double", "float"):
+            value = F.floor(value * 1e6 + 0.5)
+        return F.coalesce(kinds.get(kind, lambda c: c)(value).cast("string"), F.lit("\\N"))
+
+    return F.concat_ws("|", *[text(c) for c in sorted(df.columns)])
+
+
+def table_fingerprint(df: DataFrame, name: str, body: Column | None = None) -> DataFrame:
+    """Row count and an order-insensitive digest: the four 64-bit words of each row's SHA-256, summed.
+
+    ``body`` is the text of a row; without it, JSON of all columns, which keeps every digit.
+    """
+    if body is None:
+        body = F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"})
     row = F.sha2(body, 256)
     words = [F.conv(F.substring(row, 1 + 16 * i, 16), 16, 10).cast("decimal(38,0)") for i in range(4)]
     sums = [F.coalesce(F.sum(w), F.lit(0)).cast("string") for w in words]
