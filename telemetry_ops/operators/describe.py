@@ -220,19 +220,18 @@ def even_sample(df: DataFrame, key: str, grid: Grid, samples: int) -> DataFrame:
 
 
 def head(df: DataFrame, key: str, grid: Grid, rows: int) -> DataFrame:
-    """The first rows of each key in time order."""
-    return numbered(df, key, grid).where(F.col("_number") < rows).drop("_number")
+    """The first rows of each key in time order; a few per task are shuffled, not the timeline."""
+    return _top(df, key, F.asc("timestamp"), rows)
 
 
 def tail(df: DataFrame, key: str, grid: Grid, rows: int) -> DataFrame:
     """The last rows of each key in time order."""
-    counted = numbered(df, key, grid)
-    sizes = counted.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    return (
-        counted.join(sizes, key)
-        .where(F.col("_number") >= F.col("_n") - rows)
-        .drop("_number", "_n")
-    )
+    return _top(df, key, F.desc("timestamp"), rows)
+
+
+def _top(df: DataFrame, key: str, order, rows: int) -> DataFrame:
+    number = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    return df.withColumn("_number", number).where(F.col("_number") <= rows).drop("_number")
 
 
 def first_timestamps(df: DataFrame, count: int) -> DataFrame:

@@ -118,11 +118,13 @@ def delayed_metrics(
     ``scope`` is ``all`` or a service. Services without eligible rows are listed as
     ``insufficient``.
     """
+    # The one run is named by a column: a literal would be folded away, and joins on it would lose their key.
+    one_run = F.concat(F.lit("operational"), F.substring("service_id", 1, 0)).alias("run_id")
     rows = labelled.where(F.col("reason").isNull()).select(
-        F.lit("operational").alias("run_id"), "service_id", "timestamp", "probability", "target"
+        one_run, "service_id", "timestamp", "probability", "target"
     )
     truth = incident_starts.where(F.col("recorded_at") <= moment(cutoff)).select(
-        F.lit("operational").alias("run_id"),
+        one_run,
         "service_id",
         F.col("source_id").alias("incident_id"),
         F.lit("confirmed").alias("incident_type"),
