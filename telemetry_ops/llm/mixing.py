@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemetry_ops.functions.session import broadcast_if_small, stage
-from telemetry_ops.llm.text import SPACES, UPPER
+from telemetry_ops.llm.text import SPACES
 
 #: Domains as the labels tell them.
 DOMAINS = ("good", "poor", "toxic")
@@ -29,6 +29,8 @@ ANCHOR = 1.02
 #: A feature is evidence if a domain uses it this many times as often as the rest do, and so many standard
 #: deviations more often than by chance.
 RATIO, DEVIATIONS = 12.0, 6.0
+#: Labelled documents that the classifier learns from, at most (about; chosen by a hash of their ids).
+SAMPLE = 20_000
 #: Share of a domain's labelled documents that must use the feature: what one group of copies uses tells nothing.
 LEAST_SHARE = 0.02
 #: Evidence that a document gives for a domain at most, and smoothing counts.
@@ -44,41 +46,47 @@ def domain(labels: DataFrame) -> DataFrame:
     return known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(worst.alias("domain"))
 
 
-def _words(text: Column) -> Column:
-    """Distinct lower-cased words, and three marks for the shares of symbols, capitals and distinct words."""
-    text = F.coalesce(text, F.lit(""))
-    size = F.greatest(F.length(text), F.lit(1))
-    words = F.filter(F.split(F.lower(text), SPACES), lambda w: w != "")
-    distinct = F.array_distinct(words)
-    share = lambda mark, lost: F.concat(F.lit(mark), F.floor(40 * lost / size).cast("string"))
-    gone = lambda letters: F.length(text) - F.length(F.translate(text, letters, ""))
-    fresh = F.concat(F.lit(" distinct "), F.floor(20 * F.size(distinct) / F.greatest(F.size(words), F.lit(1))).cast("string"))
-    return F.concat(distinct, F.array(share(" symbols ", gone("#*$%&|<>")), share(" capitals ", gone(UPPER)), fresh))
-
-
 def _features(docs: DataFrame, *keys: Column) -> DataFrame:
-    # Keys are computed before words are expanded, not once per word.
-    rows = docs.select(*keys, _words(F.col("text")).alias("words"))
-    names = [c for c in rows.columns if c != "words"]
-    return rows.select(*names, F.explode("words").alias("word")).select(
-        *names, F.xxhash64("word").alias("feature")
+    """Rows ``keys, tokens, feature, mark`` of each document: a feature per word, and three marks of its make-up:
+    the shares of symbols, of capitals and of distinct words. A word may recur.
+
+    Each step has a projection of its own, so that no word list is made twice, nor once per word. The outer form
+    spares the test for an empty list, which would make the list once more; the marks are always there.
+    """
+    text = F.coalesce("text", F.lit(""))
+    trimmed = F.btrim(F.lower(text), F.lit(" \t\n\x0b\x0c\r"))
+    size = F.greatest(F.length(text), F.lit(1))
+    share = lambda mark, pattern: F.concat(F.lit(mark), F.floor(40 * F.regexp_count(text, F.lit(pattern)) / size))
+    rows = docs.select(
+        *keys, F.split(trimmed, SPACES).alias("w"), share(" symbols ", "[#*$%&|<>]").alias("m0"), share(" capitals ", "[A-Z]").alias("m1")
+    )
+    names = [c for c in rows.columns if c not in ("w", "m0", "m1")]
+    fresh = F.concat(F.lit(" distinct "), F.floor(20 * F.size(F.array_distinct("w")) / F.size("w")))
+    rows = rows.select(*names, "w", "m0", "m1", fresh.alias("m2"))
+    tokens = F.when((F.size("w") == 1) & (F.col("w")[0] == ""), 0).otherwise(F.size("w")).cast("long").alias("tokens")
+    rows = rows.select(*names, tokens, F.concat(F.array("m0", "m1", "m2"), "w").alias("w"))
+    return rows.select(*names, "tokens", F.posexplode_outer("w").alias("at", "word")).select(
+        *names, "tokens", F.xxhash64("word").alias("feature"), (F.col("at") < 3).alias("mark")
     )
 
 
 def evidence(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``feature, e_0 .. e_k``: log of how much more often a domain uses a feature than the others do.
 
-    All labelled documents are counted, those with equal texts once. Only telling features are kept, of which
+    About ``SAMPLE`` labelled documents are counted, those with equal texts once. Only telling features are kept, of which
     a domain has fewer than the mean number of features of its documents over ``LEAST_SHARE``.
     """
     marked = domain(labels)
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h")).join(marked, "doc_id")
     marked = stage(labelled.groupBy("h", "domain").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "domain"), "labelled-texts")
+    part = min(1.0, SAMPLE / max(1, marked.count()))
+    marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= int(part * (1 << 30)))
     documents = {r["domain"]: r["count"] for r in marked.groupBy("domain").count().collect()}
     marked = broadcast_if_small(marked, sum(documents.values()), 16)
     learn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(marked, "doc_id")
     n = len(DOMAINS)
-    counts = _features(learn, F.col("domain")).groupBy("feature").agg(
+    used = _features(learn, F.col("doc_id"), F.col("domain")).select("doc_id", "domain", "feature").distinct()
+    counts = used.groupBy("feature").agg(
         *[F.sum((F.col("domain") == k).cast("long")).alias(f"c_{k}") for k in range(n)]
     )
     counts = stage(counts, "feature-counts")
@@ -108,12 +116,15 @@ def posteriors(docs: DataFrame, labels: DataFrame) -> DataFrame:
     table = stage(evidence(docs, labels), "feature-evidence")
     table = broadcast_if_small(table, table.count(), 64)
     keys = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")]
-    tokens = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), SPACES), lambda w: w != "")).cast("long").alias("tokens")
-    sums = (
-        _features(docs, *keys, tokens)
+    hits = (
+        _features(docs, *keys)
         .join(table, "feature", "left")
-        .groupBy("doc_id", "text_hash", "tokens")
-        .agg(*[F.coalesce(F.sum(f"e_{k}"), F.lit(0.0)).alias(f"e_{k}") for k in range(n)])
+        .where("mark or e_0 is not null")
+        .groupBy("doc_id", "text_hash", "tokens", "feature")
+        .agg(*[F.first(f"e_{k}").alias(f"e_{k}") for k in range(n)])
+    )
+    sums = hits.groupBy("doc_id", "text_hash", "tokens").agg(
+        *[F.coalesce(F.sum(f"e_{k}"), F.lit(0.0)).alias(f"e_{k}") for k in range(n)]
     )
     sums = stage(sums, "document-evidence")
     # What the lack of any telling feature of a domain says, counted over the labelled documents.

@@ -99,5 +99,21 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles,
   least(d.doc_id, (SELECT min(l.b) FROM l WHERE l.a = d.doc_id AND l.same)) AS class_id,
   (SELECT count(*) FROM l WHERE l.a = d.doc_id) AS n_links
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+""",
+    "op3_chat_format": f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn NULLS LAST, r, x)) AS turns_sha256,
+  CAST(sum(CASE WHEN r = 'assistant' THEN length(x) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(x, '' ORDER BY turn NULLS LAST, x) FILTER (r = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(24 + length(r) + length(x) + {" + ".join(
+      f"(length(x) - length(replace(x, '{c}', ''))) // {len(c)}"
+      for c in (chr(92), "<|", "<s>", "</s>", "<SYS>>", "</SYS>>", "<<SYS>>", "<</SYS>>", "[INST]", "[/INST]")
+  )}) AS BIGINT) AS formatted_chars,
+  CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS attachment_tokens
+FROM t GROUP BY conv_id
 """,
 }
