@@ -10,7 +10,7 @@ from telemetry_ops.llm import crf, mixing, ngram_join, sanitise, tokens
 from telemetry_ops.llm.text import table
 
 #: Mean marginal of a text's language below which the text is rejected, with all texts without a word.
-LEAST_LANGUAGE = 0.35
+LEAST_LANGUAGE = 0.3
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemetry_ops.llm.text import column, fold, slices, small_batches
+from telemetry_ops.llm.text import column, fold, slices, small_batches, tidy
 
 FOLDS, HELD = 5, 0
 UNKNOWN = "und"
@@ -26,7 +26,7 @@ UNKNOWN = "und"
 FEATURES, LABELS = 1 << 17, 64
 #: Labelled documents and words of one document that training uses at most: the bound of the sample. A longer
 #: document is represented by equally spaced runs of words from all of it.
-SAMPLE_ROWS, SAMPLE_WORDS, RUN = 4000, 120, 20
+SAMPLE_ROWS, SAMPLE_WORDS, RUN = 2400, 120, 20
 #: Texts in which a word must occur in the sample to enter the lexicon.
 LEXICON = 3
 EPOCHS, RATE, RIDGE = 12, 0.5, 1e-6
@@ -271,6 +271,7 @@ class Reader:
 
 
 def _predict(f: Field):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(f)
         for batch in batches:
@@ -288,6 +289,7 @@ def _predict(f: Field):
 
 
 def _keep(f: Field, least: float):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(f)
         for batch in batches:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from telemetry_ops.functions.session import broadcast_if_small, stage
 from telemetry_ops.llm.components import components
-from telemetry_ops.llm.text import column, hash_words, lists, most_frequent, slices, small_batches, split_words
+from telemetry_ops.llm.text import column, hash_words, lists, most_frequent, slices, small_batches, split_words, tidy
 
 WORDS = 5
 #: Similarity at least NUM / DEN.
@@ -68,6 +68,7 @@ def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
     return found
 
 
+@tidy
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in slices(batch, "text", PER_BYTES):
@@ -86,6 +87,7 @@ def late_shingles(texts: DataFrame) -> np.ndarray:
 
 
 def _sets(late: np.ndarray, whole: bool):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text"):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemetry_ops.llm.text import column, lists, slices, small_batches
+from telemetry_ops.llm.text import column, lists, slices, small_batches, tidy
 
 MARK = "\u2581"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -289,6 +289,7 @@ def decode_ids(ids: np.ndarray, v: Vocabulary) -> bytes:
 
 
 def _encode(path: str):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary(path))
         for batch in batches:
@@ -337,6 +338,7 @@ def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """
     import hashlib
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
         encoder = Encoder(v)
