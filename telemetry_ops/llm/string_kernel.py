@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telemetry_ops.functions.session import broadcast_if_small, stage
-from telemetry_ops.llm.text import column, fold, most_frequent, slices, small_batches
+from telemetry_ops.llm.text import column, fold, most_frequent, slices, small_batches, tidy
 
 DECAY = 0.6
 #: Characters of one kernel window; three of them, the first included, form a subsequence.
@@ -38,13 +38,15 @@ LONGEST, OVERLAP = 48, 16
 #: Words at most that become landmarks, and training instances of either kind.
 LANDMARKS, INSTANCES = 384, 4000
 #: Rounds of training; each adds the negative words that the machine before ranks highest.
-ROUNDS = 6
+ROUNDS = 5
 #: Different contexts in toxic documents that a word needs to be a positive instance: copies have the same.
 SUPPORT = 6
 #: Folds; fold ``HELD`` is never learnt from.
 FOLDS, HELD = 4, 2
 THRESHOLD = 0.3
-REMEMBERED = 150_000
+#: Margin of a text without words.
+NO_WORDS = -3.0
+REMEMBERED = 300_000
 
 SCORED = "doc_id long, held_out boolean, score double, predicted int, worst string"
 
@@ -218,6 +220,7 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _worst(machine: Machine, extra: tuple[str, ...]):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
         for batch in batches:
@@ -229,8 +232,11 @@ def _worst(machine: Machine, extra: tuple[str, ...]):
                 for i in range(0, len(new), 20_000):
                     part = new[i : i + 20_000]
                     known.update(zip(part, machine.margins(part).tolist()))
-                top = [max(ws, key=known.__getitem__, default=None) for ws in texts]
-                margin = [known[w] if w is not None else -3.0 for w in top]
+                top, margin = [], []
+                for ws in texts:
+                    values = [known[w] for w in ws]
+                    margin.append(max(values, default=NO_WORDS))
+                    top.append(ws[values.index(margin[-1])] if ws else None)
                 yield pa.record_batch(
                     [*(piece.column(piece.schema.get_field_index(c)) for c in extra), pa.array(margin, pa.float64()), pa.array(top, pa.string())],
                     [*extra, "margin", "worst"],
