@@ -236,7 +236,7 @@ def _runs(line: str) -> list[str]:
 class Encoder:
     """Encodes texts; remembers the pieces of words, a bounded number of them."""
 
-    def __init__(self, v: Vocabulary, remembered: int = 400_000):
+    def __init__(self, v: Vocabulary, remembered: int = 200_000):
         self.v, self.remembered = v, remembered
         self.forget()
 
