@@ -1,10 +1,10 @@
 """Personal data and the terms that give it away, by built-in functions alone.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers, found by regular expressions. Their
-values are the protected entities. How strongly a term of an entity's surroundings reveals it is its
+values are the protected entities. How strongly a term, any word outside base spans, reveals an entity is its
 pointwise mutual information, ``log p(t, e) / (p(t) p(e))``, against the entity's information ``-log p(e)``, counted
 over all documents; a term that reaches ``ALPHA`` of it is removed, or generalised to its shape if other
-documents use it without the entity often enough.
+documents use it without the entity often enough. This holds in every text, also where the entity is not named.
 """
 
 from __future__ import annotations
@@ -18,10 +18,8 @@ from telemetry_ops.functions.session import broadcast_if_small, stage
 
 #: Share of an entity's information that a term may reveal.
 ALPHA = 0.9
-#: Different texts in which a term must stand by an entity, and share of a term's documents from which it is removed.
+#: Different texts that must hold a term with an entity, and share of a term's documents from which it is removed.
 SUPPORT, REMOVE = 2, 0.9
-#: Code points on either side of an entity, and letters of a term at least.
-AROUND, TERM_LETTERS = 80, 4
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: Starts only where a run begins (or where the last match ended), and never gives characters back, which
@@ -104,53 +102,59 @@ def _entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), value)
 
 
-def _near(text: Column, span: Column) -> Column:
-    """Terms of the surroundings, without those that the window's edge cuts."""
-    begin = F.greatest(span["start"] - AROUND, F.lit(0))
-    left = F.substring(text, begin + 1, span["start"] - begin)
-    right = F.substring(text, span["end"] + 1, F.lit(AROUND))
-    terms = lambda t: F.regexp_extract_all(F.lower(t), F.lit(WORD), F.lit(0))
-    whole = lambda t, first: F.slice(terms(t), first, F.greatest(F.size(terms(t)) - 1, F.lit(0)))
-    return F.array_distinct(F.filter(F.concat(whole(left, 2), whole(right, 1)), lambda t: F.length(t) >= TERM_LETTERS))
+def _clear(text: Column, base: Column) -> Column:
+    """The text with blanks for its base spans: what stays in clear, at the same offsets."""
+    ordered = F.array_sort(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+
+    def step(acc, s):
+        begin = F.greatest(acc["pos"], s["start"])
+        out = F.concat(
+            acc["out"], F.substring(text, acc["pos"] + 1, begin - acc["pos"]), F.repeat(F.lit(" "), F.greatest(s["end"] - begin, F.lit(0)))
+        )
+        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), out.alias("out"))
+
+    zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
+    blanked = F.aggregate(ordered, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
+    return F.when(F.size(base) == 0, text).otherwise(blanked)
+
+
+def _terms(clear: Column) -> Column:
+    """Distinct lower-cased words of any length."""
+    return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(clear, F.lit(WORD), F.lit(0))), lambda w: F.lower(w)))
 
 
 def disclosing_terms(texts: DataFrame) -> DataFrame:
-    """``key, terms``: per text (named by its MD5) the terms to act on, as ``struct<term, remove>``.
+    """``term, remove``: the terms to act on wherever they stand in clear, and whether they go or become their shape.
 
-    Copies of a text are one row here, with their number; a term's and an entity's documents are counted over
-    all of ``texts``. Words are only looked for if they stood by one entity in ``SUPPORT`` texts.
+    Copies of a text are one row here, with their number; documents of a term, of an entity and of both are counted
+    over all of ``texts``, however far apart both stand. Since both together have no more documents than the entity, a
+    term that reaches ``ALPHA`` is in ``n_e ** ALPHA * total ** (1 - ALPHA)`` documents at most: only such
+    terms, and entities of ``SUPPORT`` texts, are paired. An entity of all documents has no information to reveal.
     """
-    rows = texts.select("text", base_spans(F.col("text")).alias("base")).where(F.size("base") > 0)
-    rows = stage(
-        rows.groupBy(F.md5(F.col("text").cast("binary")).alias("key")).agg(
-            F.count("*").alias("copies"), F.first("text").alias("text"), F.first("base").alias("base")
-        ),
-        "protected-texts",
-    )
-    found = rows.select("key", "copies", "text", F.explode("base").alias("span"))
-    pairs = found.select("key", "copies", _entity(F.col("span")).alias("entity"), F.explode(_near(F.col("text"), F.col("span"))).alias("term")).distinct()
-    pairs = stage(pairs, "entity-terms")
-    entities = found.select("key", "copies", _entity(F.col("span")).alias("entity")).distinct().groupBy("entity").agg(F.sum("copies").alias("n_e"))
-    together = pairs.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("copies").alias("n_te")).where(F.col("texts") >= SUPPORT)
-    together = stage(together.join(entities, "entity"), "term-counts")
-    wanted = together.select("term").distinct()
-    n_wanted = wanted.count()
+    rows = texts.select("text", base_spans(F.col("text")).alias("base"))
+    words = rows.select(_clear(F.col("text"), F.col("base")).alias("clear"))
     # The outer form spares a test for an empty list, which would make the list twice; null joins nothing.
-    words = texts.select(F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    counts = words.join(broadcast_if_small(wanted, n_wanted, 64), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    total = max(1, texts.count())
-    p = lambda c: F.col(c) / F.lit(float(total))
-    chosen = together.join(counts, "term").where(
-        F.log(p("n_te") / (p("n_t") * p("n_e"))) >= ALPHA * -F.log(p("n_e"))
-    )
-    chosen = chosen.select("entity", "term", (F.col("n_te") >= REMOVE * F.col("n_t")).alias("remove"))
-    return (
-        pairs.join(chosen, ["entity", "term"])
-        .groupBy("key", "term")
-        .agg(F.max("remove").alias("remove"))
-        .groupBy("key")
-        .agg(F.collect_list(F.struct("term", "remove")).alias("terms"))
-    )
+    words = words.select(F.explode_outer(_terms(F.col("clear"))).alias("term"))
+    rows = rows.where(F.size("base") > 0).groupBy(F.md5(F.col("text").cast("binary")).alias("key"))
+    rows = rows.agg(F.count("*").alias("copies"), F.first("text").alias("text"), F.first("base").alias("base"))
+    rows = stage(rows.select(F.monotonically_increasing_id().alias("id"), "copies", "text", "base"), "protected-texts")
+    total = float(max(1, texts.count()))
+    held = rows.select("id", "copies", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
+    entities = held.groupBy("entity").agg(F.count("*").alias("texts"), F.sum("copies").alias("n_e"))
+    entities = stage(entities.where((F.col("texts") >= SUPPORT) & (F.col("n_e") < total)).select("entity", "n_e"), "entities")
+    n_entities, most = entities.agg(F.count("*"), F.max("n_e")).first()
+    held = stage(held.join(broadcast_if_small(entities, n_entities, 64), "entity"), "text-entities")
+    within = lambda n_e: F.col("n_t") <= 1.000001 * F.pow(n_e, F.lit(ALPHA)) * total ** (1 - ALPHA)
+    counts = words.groupBy("term").agg(F.count("term").alias("n_t")).where((F.col("n_t") >= SUPPORT) & within(F.lit(float(most or 0))))
+    counts = stage(counts, "term-documents")
+    near = rows.join(broadcast_if_small(held.select("id"), held.count(), 16), "id", "left_semi")
+    near = near.select("id", _clear(F.col("text"), F.col("base")).alias("clear")).select("id", F.explode_outer(_terms(F.col("clear"))).alias("term"))
+    near = near.join(broadcast_if_small(counts, counts.count(), 64), "term")
+    together = near.join(held, "id").where(within(F.col("n_e"))).groupBy("entity", "term", "n_e", "n_t")
+    together = together.agg(F.count("*").alias("texts"), F.sum("copies").alias("n_te")).where(F.col("texts") >= SUPPORT)
+    p = lambda c: F.col(c) / F.lit(total)
+    chosen = together.where(F.log(p("n_te") / (p("n_t") * p("n_e"))) >= ALPHA * -F.log(p("n_e")))
+    return chosen.groupBy("term").agg(F.max(F.col("n_te") >= REMOVE * F.col("n_t")).alias("remove"))
 
 
 def _listed(found: Column) -> Column:
@@ -187,35 +191,36 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """The documents with their columns, the text sanitised, and ``base`` and ``found`` spans of the old text.
 
     A null text stays null and has no span. Spans of terms have kind ``term`` (removed) or ``shape``
-    (generalised). Only texts with personal data meet the table of terms, by broadcast if that is counted as small.
-    Columns named like the two new ones are replaced.
+    (generalised). The words of all texts meet the table of terms, and the texts what was found in them, by broadcast
+    if that is counted as small. Columns named like the two new ones are replaced.
     """
     kept = [c for c in docs.columns if c not in ("base", "found")]
-    rows = docs.select(*kept, F.coalesce(base_spans(F.coalesce("text", F.lit(""))), F.array().cast(_NONE)).alias("base"))
-    terms = stage(disclosing_terms(docs.where("text is not null").select("text")), "disclosing-terms")
-    terms = broadcast_if_small(terms, terms.count(), 4096)
+    texts = docs.where("text is not null")
+    terms = stage(disclosing_terms(texts.select("text")), "disclosing-terms")
     key = F.md5(F.col("text").cast("binary"))
-    some = rows.where(F.size("base") > 0).join(terms.withColumnRenamed("key", "__key"), F.col("__key") == key, "left").drop("__key")
-    wanted = F.col("terms")
-    outside = lambda b, e: ~F.exists("base", lambda s: (s["start"] < e) & (b < s["end"]))
-    words = spans(
-        F.col("text"), WORD, "term",
-        lambda m, b, e: F.exists(wanted, lambda t: t["term"] == F.lower(m)) & outside(b, e),
-    )
+    words = texts.select(key.alias("__key"), "text", base_spans(F.col("text")).alias("base"))
+    words = words.select("__key", _clear(F.col("text"), F.col("base")).alias("clear"))
+    words = words.select("__key", F.explode_outer(_terms(F.col("clear"))).alias("term"))
+    hits = words.join(broadcast_if_small(terms, terms.count(), 64), "term").groupBy("__key")
+    hits = stage(hits.agg(*[F.collect_set(F.when(F.col("remove") == gone, F.col("term"))).alias(c) for c, gone in (("__gone", True), ("__shaped", False))]), "disclosing-texts")
+    size = hits.agg(F.sum(1 + F.size("__gone") + F.size("__shaped"))).first()[0] or 0
+    rows = texts.select(*kept, base_spans(F.col("text")).alias("base"))
+    some = rows.join(broadcast_if_small(hits, size, 64), F.col("__key") == key, "left").withColumn("__clear", _clear(F.col("text"), F.col("base")))
+    gone = lambda w: F.array_contains(F.col("__gone"), F.lower(w))
+    shaped = lambda w: F.array_contains(F.col("__shaped"), F.lower(w))
     named = F.transform(
-        words,
+        spans(F.col("__clear"), WORD, "term", lambda m, b, e: gone(m) | shaped(m)),
         lambda s: F.struct(
-            F.when(F.exists(wanted, lambda t: (t["term"] == F.lower(s["value"])) & t["remove"]), F.lit("term")).otherwise(F.lit("shape")).alias("kind"),
+            F.when(gone(s["value"]), F.lit("term")).otherwise(F.lit("shape")).alias("kind"),
             s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"),
         ),
     )
-    extra = F.when(wanted.isNotNull(), named).otherwise(F.array().cast(_NONE))
-    some = some.withColumn("extra", extra).withColumn("found", F.concat("base", "extra"))
-    done = some.select(
-        *[(_replaced(F.col("text"), F.col("found")) if c == "text" else F.col(c)).alias(c) for c in kept], "base", "found"
-    )
-    none = rows.where(F.size("base") == 0).select(*kept, "base", F.col("base").alias("found"))
-    return none.unionByName(done)
+    extra = F.when(F.col("__key").isNotNull(), named).otherwise(F.array().cast(_NONE))
+    some = some.withColumn("found", F.concat("base", extra))
+    text = F.when(F.size("found") == 0, F.col("text")).otherwise(_replaced(F.col("text"), F.col("found"))).alias("text")
+    done = some.select(*[text if c == "text" else F.col(c) for c in kept], "base", "found")
+    none = F.array().cast(_NONE)
+    return docs.where("text is null").select(*kept, none.alias("base"), none.alias("found")).unionByName(done)
 
 
 def span_report(docs: DataFrame) -> DataFrame:

@@ -76,6 +76,19 @@ def test_terms_that_disclose(spark):
     assert all(s["kind"] == "email" for i in range(5) for s in found[90 + i]["found"])  # one text is no evidence
 
 
+def test_terms_far_away_and_in_texts_without_the_entity(spark):
+    rng = random.Random(3)
+    common = lambda n=20: " ".join(rng.choices(["alpha", "bravo", "delta", "gamma", "omega"], k=n))
+    rows = [(i, f"Kim {common(60)} j.doe@mail.org {common(60)} \u674e\u96f7 İzmir{'.' * i}") for i in range(4)]
+    rows += [(10 + i, common()) for i in range(70)] + [(90, "Kim met us in İzmir"), (91, None), (92, "doe, a mail")]
+    found = {r["doc_id"]: r for r in S.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(4):  # further than 80 code points from the entity, and of less than four letters
+        assert {s["value"]: s["kind"] for s in found[i]["found"] if s["kind"] != "email"} == {"Kim": "shape", "İzmir": "shape", "李雷": "term"}
+    assert found[90]["text"] == "<NAME> met us in <NAME>" and not found[90]["base"]
+    assert found[91]["text"] is None and found[92]["text"] == "doe, a mail"  # the entity's own words are no terms
+    assert all(found[10 + i]["text"] == rows[4 + i][1] for i in range(70))
+
+
 def test_columns_and_empty_table(spark):
     df = spark.createDataFrame([(1, None, "en"), (1, "mail a@b.c", None)], "doc_id long, text string, lang string")
     got = S.sanitise(df)
