@@ -216,6 +216,22 @@ def test_rates_reach_their_targets(docs, labels, rows):
     assert 0 < len(kept) <= len(rows) and kept[0].__fields__ == docs.columns
 
 
+@pytest.mark.parametrize("shares", [(76, 12, 12), (90, 7, 3), (998, 1, 1)])
+def test_each_domain_reaches_its_own_target(spark, shares):
+    rows = [([float(j == k) for j in range(3)], 1000 * s) for k, s in enumerate(shares)] + [([0.875, 0.0625, 0.0625], 5000), ([0.998, 0.001, 0.001], 9000)]
+    _, report = mixing.fit_rates(spark.createDataFrame(rows, "p array<double>, tokens long"))
+    for r in report.values():
+        assert abs(r["expected"] - r["target"]) <= 0.005 * r["target"]
+
+
+def test_targets_out_of_reach_are_reported(spark, docs, labels):
+    rows = spark.createDataFrame([([0.5, 0.25, 0.25], 1000)], "p array<double>, tokens long")
+    with pytest.warns(UserWarning, match="off their targets"):
+        mixing.fit_rates(rows)
+    found = mixing.posteriors(docs, labels).collect()
+    assert any(0 < r["p"][2] < 1 / 256 for r in found)  # not rounded away: the target is 1 %
+
+
 def test_empty_tables(spark, docs, labels):
     none = docs.where("false")
     assert brown_lm.brown_scores(none).collect() == []
