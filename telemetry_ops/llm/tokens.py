@@ -9,6 +9,7 @@ backpointer. What no piece covers falls back to bytes, so that every text is dec
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -29,8 +30,10 @@ LITERAL = " " + MARK
 OFFSET = 1000.0
 #: Words of equal length that advance together, at most.
 TOGETHER = 4096
-#: Characters of a word at most; a longer one is cut there, which only matters to runs without a space.
-LONGEST_WORD = 512
+#: Characters up to which words of one length advance together. A longer one goes alone, so many characters at a time.
+LONGEST_WORD, BLOCK = 512, 1 << 14
+#: Characters of longer words that an encoder remembers.
+LONG_REMEMBERED = 1 << 22
 
 ENCODED = "doc_id long, n_tokens long, ids array<int>"
 
@@ -167,13 +170,65 @@ def _spelt(word: str, back: np.ndarray, piece: np.ndarray, v: Vocabulary) -> np.
     return np.concatenate(found[::-1])
 
 
+def _long_word(word: str, v: Vocabulary) -> np.ndarray:
+    """Piece ids of a long word, by the same search: blocks of it look their pieces up at once and carry the scores
+    of the last ``v.longest`` positions on; a position keeps its last piece and the length of that."""
+    codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = len(codes)
+    taken, piece = np.ones(n + 1, np.int16), np.full(n + 1, -1, np.int32)
+    power = _powers(v.longest)
+    best = [0.0]
+    for a in range(0, n, BLOCK):
+        b = min(n, a + BLOCK)
+        first = max(0, a + 1 - v.longest)
+        part = codes[first:b].astype(np.uint64) + np.uint64(1)
+        own = part[a - first :]
+        spelt = (v.byte_score * np.where(own > 0x10000, 4, np.where(own > 0x800, 3, np.where(own > 0x80, 2, 1)))).tolist()
+        key = np.zeros(b - a, np.uint64)  # of the substrings that end behind each character
+        ends, sizes, found = [], [], []
+        for length in range(1, min(b, v.longest) + 1):
+            low = max(0, length - 1 - a)
+            key[low:] += part[a + 1 + low - length - first : b - length - first + 1] * power[length - 1]
+            some = low + np.flatnonzero(v.leading[key[low:] >> np.uint64(44)])
+            at = np.minimum(np.searchsorted(v.keys, key[some]), len(v.keys) - 1)
+            same = v.keys[at] == key[some]
+            ends.append(some[same])
+            found.append(at[same])
+            sizes.append(np.full(len(ends[-1]), length))
+        ends, sizes, found = np.concatenate(ends), np.concatenate(sizes), np.concatenate(found)
+        order = np.argsort(ends, kind="stable")  # shorter pieces first
+        bounds = np.searchsorted(ends[order], np.arange(b - a + 1)).tolist()
+        size, ids, scores = sizes[order].tolist(), v.ids[found[order]].tolist(), v.scores[found[order]].tolist()
+        for i in range(b - a):
+            top, length, which = best[-1] + spelt[i], 1, -1
+            for j in range(bounds[i], bounds[i + 1]):
+                score = best[-size[j]] + scores[j]
+                if score > top:
+                    top, length, which = score, size[j], ids[j]
+            best.append(top)
+            taken[a + 1 + i], piece[a + 1 + i] = length, which
+        best = best[-v.longest :]
+    out, at = array("i"), n
+    while at > 0:
+        start = at - int(taken[at])
+        if piece[at] >= 0:
+            out.append(int(piece[at]))
+        else:
+            out.extend(v.byte_ids[list(word[start:at].replace(MARK, " ").encode("utf-8", "surrogatepass"))][::-1].tolist())
+        at = start
+    return np.frombuffer(out, np.int32)[::-1].copy()
+
+
 def encode_words(words: list[str], v: Vocabulary) -> list[np.ndarray]:
     found: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
     by_length: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         by_length.setdefault(len(w), []).append(i)
     for n, group in by_length.items():
-        if n:
+        if n > LONGEST_WORD:
+            for i in group:
+                found[i] = _long_word(words[i], v)
+        elif n:
             step = max(1, TOGETHER * 16 // max(16, n))
             for k in range(0, len(group), step):
                 part = group[k : k + step]
@@ -186,7 +241,7 @@ def cut(text: str) -> list[str]:
     """Keys of the words: ``w`` is the word ``MARK + w``, and `` w`` the word ``w`` without a mark in front.
 
     A run of spaces is in front of its word. No piece holds a line feed, which is a word of its own; so is a mark
-    of the text itself, ``LITERAL``. Overlong words come in parts.
+    of the text itself, ``LITERAL``.
     """
     plain = MARK not in text and "  " not in text
     first, *lines = text.split("\n")
@@ -200,15 +255,6 @@ def cut(text: str) -> list[str]:
             if plain:
                 found[0] = " " + found[0]
             words += found
-    if len(text) > LONGEST_WORD and max(map(len, words)) > LONGEST_WORD:
-        parts = []
-        for w in words:
-            if len(w) <= LONGEST_WORD:
-                parts.append(w)
-            else:
-                whole = w[1:] if w[0] == " " else MARK + w
-                parts += [" " + whole[i : i + LONGEST_WORD] for i in range(0, len(whole), LONGEST_WORD)]
-        words = parts
     return words
 
 
@@ -242,11 +288,12 @@ class Encoder:
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
+        self.long = 0
         self.size, self.start, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """Piece ids of each text."""
-        if len(self.place) > self.remembered:
+        if len(self.place) > self.remembered or self.long > LONG_REMEMBERED:
             self.forget()
         words = [cut(t.decode("utf-8", "replace")) if t else [] for t in texts]
         sizes = np.array([len(w) for w in words], np.int64)
@@ -254,6 +301,7 @@ class Encoder:
         place = self.place
         new = [w for w in set(flat) if w not in place]
         place.update(zip(new, range(len(place), len(place) + len(new))))
+        self.long += sum(n for n in map(len, new) if n > LONGEST_WORD)
         literal = self.v.byte_ids[list(MARK.encode())]
         found = encode_words(["" if w == LITERAL else w[1:] if w[:1] == " " else MARK + w for w in new], self.v)
         found = [literal if w == LITERAL else ids for w, ids in zip(new, found)]

@@ -43,6 +43,25 @@ def test_equals_plain_search(v):
         assert got == pytest.approx(best(word, v))
 
 
+def test_long_words_are_searched_as_a_whole(v, monkeypatch):
+    rng = random.Random(4)
+    score, bytes_ = dict(zip(v.ids.tolist(), v.scores)), set(v.byte_ids.tolist())
+    runs = ["".join(rng.choices(["tion", "ment", "the", "日本", "é", "😀", "x", "Qz", "▁"], k=k)) for k in (260, 500, 900)]
+    same = T.encode_words(["▁" + r[:500] for r in runs], v)
+    monkeypatch.setattr(T, "BLOCK", 97)
+    for r, ids in zip(runs, same):  # both searches find the same pieces
+        assert T._long_word("▁" + r[:500], v).tolist() == ids.tolist()
+    runs = [r.replace("▁", "") for r in runs] + ["internationalization" * 100]
+    for r, ids in zip(runs, T.encode_texts([r.encode() for r in runs], v)):
+        assert len(r) > T.LONGEST_WORD and T.decode_ids(ids, v) == r.encode()
+        assert sum(score.get(i, v.byte_score if i in bytes_ else -np.inf) for i in ids.tolist()) == pytest.approx(best("▁" + r, v))
+    remembering = T.Encoder(v)
+    monkeypatch.setattr(T, "LONG_REMEMBERED", 1000)
+    for _ in range(3):
+        assert [len(i) for i in remembering.encode([runs[-1].encode()])] == [len(ids)]
+        assert len(remembering.place) == 1
+
+
 def test_frame_round_trip(spark):
     rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(None, None, "y"), (3, TEXTS[3], "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string").repartition(3)
