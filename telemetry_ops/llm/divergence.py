@@ -13,6 +13,7 @@ column among the others.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,8 +29,8 @@ LEAST_DOCUMENTS = 10
 SCALE = 1_000_000_000
 #: Terms per group in the report of terms.
 TOP = 10
-#: Counts per block of the vocabulary, columns per tile, counts a task adds up before it hands them on.
-BLOCK_COUNTS, TILE, HELD = 1 << 18, 256, 1 << 18
+#: Counts per block of the vocabulary, columns per tile, bytes of text that are counted at a time.
+BLOCK_COUNTS, TILE, COUNT_BYTES = 1 << 18, 256, 8 << 20
 
 #: Upper-case letters become lower-case ones, and whatever is no letter of ASCII a space; other bytes stay.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -42,49 +43,39 @@ def split_terms(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-def _slice_counts(langs: list, sources: list, texts: list) -> pd.DataFrame:
+def _tally(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order and their counts; sorting beats the hashing of ``np.unique`` here."""
+    codes = np.sort(codes)
+    starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])[: len(codes)])
+    return codes[starts], np.diff(np.append(starts, len(codes)))
+
+
+def _slice_counts(langs: list, sources: list, texts: list) -> pa.RecordBatch:
     """Occurrences and documents per (language, source, term) of a slice."""
     words = [split_terms(t) for t in texts]
     sizes = [len(w) for w in words]
-    terms, names = pd.factorize(np.array([w for doc in words for w in doc], dtype=object))
-    groups, kinds = pd.factorize(pd.MultiIndex.from_arrays([langs, sources]))
-    doc, group = np.repeat(np.arange(len(texts)), sizes), np.repeat(groups, sizes)
-    width = max(1, len(names))
-    cells, n = np.unique(group * width + terms, return_counts=True)
-    firsts = np.unique(doc * width + terms)  # each term once per document
-    where, docs = np.unique(groups[firsts // width] * width + firsts % width, return_counts=True)
-    assert np.array_equal(cells, where)
-    return pd.DataFrame(
-        {
-            "lang": [kinds[g][0] for g in cells // width], "source": [kinds[g][1] for g in cells // width],
-            "term": names[cells % width] if len(names) else [], "n": n, "docs": docs,
-        }
-    )
-
+    flat = np.empty(sum(sizes), dtype=object)
+    flat[:] = list(chain.from_iterable(words))
+    terms, names = pd.factorize(flat)
+    (lang, lang_names), (source, source_names) = pd.factorize(np.array(langs, dtype=object)), pd.factorize(np.array(sources, dtype=object))
+    group, width = lang * len(source_names) + source, max(1, len(names))
+    firsts, _ = _tally(np.repeat(np.arange(len(texts)), sizes) * width + terms)  # each term once per document
+    cells, n = _tally(np.repeat(group, sizes) * width + terms)
+    _, docs = _tally(group[firsts // width] * width + firsts % width)
 
-@tidy
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, rows = [], 0
+    def named(codes, values):
+        return pa.array(values, pa.binary()).cast(pa.string()).take(pa.array(codes))
 
-    def together():
-        return pd.concat(held).groupby(["lang", "source", "term"], sort=False, as_index=False).sum()
+    of = cells // width
+    columns = [named(of // len(source_names), lang_names), named(of % len(source_names), source_names), named(cells % width, names)]
+    return pa.record_batch([*columns, pa.array(n, pa.int64()), pa.array(docs, pa.int64())], ["lang", "source", "term", "n", "docs"])
 
-    def out(frame):
-        text = [pa.array(frame[c].tolist(), pa.binary()).cast(pa.string()) for c in ("lang", "source", "term")]
-        return pa.record_batch([*text, pa.array(frame["n"], pa.int64()), pa.array(frame["docs"], pa.int64())], ["lang", "source", "term", "n", "docs"])
 
+@tidy
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for piece in slices(batch, "text"):
-            held.append(_slice_counts(*(column(piece, c) for c in ("lang", "source", "text"))))
-            rows += len(held[-1])
-            if rows > 2 * HELD:
-                held = [together()]
-                rows = len(held[0])
-                if rows > HELD:
-                    yield out(held[0])
-                    held, rows = [], 0
-    if held:
-        yield out(together())
+        for piece in slices(batch, "text", COUNT_BYTES):
+            yield _slice_counts(*(column(piece, c) for c in ("lang", "source", "text")))
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
