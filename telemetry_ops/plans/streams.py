@@ -2,49 +2,71 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+import time
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telemetry_ops.functions.session import new_folder, stage
-from telemetry_ops.grid import METRICS, moment
-from telemetry_ops.operators.drift import DriftConfig, drift_reference
+from telemetry_ops.grid import FEATURES, METRICS, moment
+from telemetry_ops.operators.drift import DriftConfig, drift_reference, to_long
+from telemetry_ops.plans.monitoring import _DELAYED
 from telemetry_ops.plans.registry import query
 from telemetry_ops.plans.scoring import _episodes, rounded
-from telemetry_ops.plans.tables import ORIGIN, SCALES, THRESHOLD
+from telemetry_ops.plans.tables import CUTOFF, ORIGIN, SCALES, THRESHOLD
 from telemetry_ops.streaming import jobs
 from telemetry_ops.streaming.runner import local_state_partitions
 
 _M = ", ".join(METRICS)
-LATENESS = "40 days"  # files written at once are read in any order
+LATENESS = "1 day"
+FILES, FILES_PER_BATCH = 8, 4
 END_MARK = "~end"  # service of the closing row that moves the watermark past all data
+BEYOND = "INTERVAL 100 DAYS"  # how far behind the last row the closing row lies
+
+
+def _in_order(spark, path: str) -> None:
+    """Sets the files' times to the order of their names, in which a stream then reads them."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(f.getPath().toString() for f in store.listStatus(folder) if f.getPath().getName().startswith("part-"))
+    begin = int(time.time() * 1000) - 3_600_000
+    for k, name in enumerate(names):
+        store.setTimes(spark._jvm.org.apache.hadoop.fs.Path(name), begin + 1000 * k, -1)
 
 
 def arriving(
-    t, df: DataFrame, order: str, times: tuple[str, ...], close: bool = False, files_per_batch: int | None = None
+    t,
+    df: DataFrame,
+    order: str,
+    times: tuple[str, ...],
+    close: bool = False,
+    path: str | None = None,
+    files: int = FILES,
+    files_per_batch: int = FILES_PER_BATCH,
 ) -> DataFrame:
-    """Write a table as files in time order and read it back as a stream.
-
-    The session's shuffle settings decide on the number of files, and a batch has as many as there are cores
-    unless told otherwise.
+    """Write a table as files in time order and read it back as a stream, some files per batch.
 
-    ``times`` become zoned timestamps. With ``close`` a last file holds a row far in the future.
+    ``times`` become zoned timestamps. With ``close`` a last file holds a row far behind all others. With a ``path``
+    the files join those of an earlier call, as what arrives later.
     """
-    path = new_folder(t.spark, "arriving")
+    later = path is not None
+    path = path or new_folder(t.spark, "arriving")
     zoned = df.select(*[F.col(c).cast("timestamp").alias(c) if c in times else F.col(c) for c in df.columns])
-    zoned.repartitionByRange(order).write.parquet(path)
+    zoned.repartitionByRange(files, order).write.mode("append").parquet(path)
+    if not later:
+        _in_order(t.spark, path)
     if close:
-        late = F.lit(datetime(2024, 12, 31)).cast("timestamp")
+        end = t.spark.read.schema(zoned.schema).parquet(path).agg(F.max(F.greatest(*times, times[0])).alias("end"))
+        far = F.col("end") + F.expr(BEYOND)
         row = [
-            late.alias(f.name)
+            far.alias(f.name)
             if f.name in times
             else F.lit(END_MARK if f.dataType.simpleString() == "string" else 0).cast(f.dataType).alias(f.name)
             for f in zoned.schema
         ]
-        t.spark.range(1).select(*row).write.mode("append").parquet(path)
-    batch = files_per_batch or t.spark.sparkContext.defaultParallelism
-    return t.spark.readStream.schema(zoned.schema).option("maxFilesPerTrigger", batch).parquet(path)
+        end.select(*row).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(zoned.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
 def _state(t):
@@ -61,8 +83,7 @@ def stream_ingest(t):
     stamp = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss")
     good = F.concat(stamp, F.when(F.col("memory_utilisation_pct") < 30, "").otherwise("Z"))
     body = F.to_json(F.struct(good.alias("timestamp"), "service_id", *METRICS))
-    copies = F.explode(F.array(F.lit(0), F.lit(1)))
-    records = t.rollup.select(body.alias("body"), "step").select("*", copies.alias("copy"))
+    records = t.rollup.select(body.alias("body"), "step").select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
     stream = arriving(t, records, "step", ())
     target, rejects = new_folder(t.spark, "ingested"), new_folder(t.spark, "rejects")
     jobs.ingest_stream(
@@ -78,8 +99,51 @@ def stream_ingest(t):
     return t.spark.read.schema(jobs.STORED).parquet(target).drop("ingested_at")
 
 
-def _features(t, metrics):
-    stream = arriving(t, t.rollup.select("service_id", "timestamp", *METRICS), "timestamp", ("timestamp",))
+_LATE_DAYS = 3
+
+
+@query(
+    "stream_ingest_counts",
+    f"""WITH r AS (SELECT *, memory_utilisation_pct < 30 OR timestamp > TIMESTAMP '2024-01-29' AS bad,
+           step % 11 = 3 AS second, memory_utilisation_pct < 30 AS damaged FROM telemetry),
+        m AS (SELECT max(timestamp) - INTERVAL {_LATE_DAYS} DAY AS mark FROM r WHERE NOT second AND NOT bad),
+        a AS (
+          SELECT CASE WHEN bad THEN 'rejected' ELSE unnest(['inserted', 'unchanged']) END AS kind FROM r WHERE NOT second AND NOT bad
+          UNION ALL SELECT unnest(['rejected', 'rejected']) FROM r WHERE NOT second AND bad
+          UNION ALL SELECT CASE WHEN damaged THEN 'rejected' WHEN timestamp < mark THEN 'late' WHEN bad THEN 'rejected'
+            WHEN second THEN 'inserted' ELSE 'unchanged' END FROM r, m WHERE second OR step % 13 = 5)
+       SELECT count(*) FILTER (kind = 'inserted') AS inserted, count(*) FILTER (kind = 'unchanged') AS unchanged,
+         count(*) FILTER (kind = 'rejected') AS rejected, count(*) FILTER (kind = 'late') AS late,
+         count(*) AS input, count(*) FILTER (kind = 'inserted') AS stored FROM a""",
+)
+def stream_ingest_counts(t):
+    """Every record is counted once. Every eleventh step comes after all others, mostly too late, and some rows come again."""
+    stamp = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss")
+    good = F.concat(stamp, F.when(F.col("memory_utilisation_pct") < 30, "").otherwise("Z"))
+    body = F.to_json(F.struct(good.alias("timestamp"), "service_id", *METRICS)).alias("body")
+    rows = t.rollup.select(body, "step")
+    second = F.col("step") % 11 == 3
+    twice = rows.where(~second).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
+    after = rows.where(second | (F.col("step") % 13 == 5)).withColumn("copy", F.lit(2))
+    folders = [new_folder(t.spark, n) for n in ("arriving", "ingested", "rejects", "late", "counts", "ingest-progress")]
+    path, target, rejects, late, counts, progress = folders
+    for wave, files in ((twice, FILES), (after, 1)):
+        jobs.ingest_stream(
+            arriving(t, wave, "step", (), path=path, files=files, files_per_batch=FILES),
+            "body", target, rejects, progress,
+            services=t.services, now=moment(datetime(2024, 1, 29)), late=late, delay=f"{_LATE_DAYS} DAYS", counts=counts,
+            state_partitions=_state(t),
+        )
+    stored = t.spark.read.schema(jobs.STORED).parquet(target).count()
+    kinds = ("inserted", "unchanged", "rejected", "late")
+    return jobs.ingest_counts(t.spark, counts).agg(
+        *[F.sum(k).alias(k) for k in kinds], F.sum(sum((F.col(k) for k in kinds[1:]), F.col(kinds[0]))).alias("input"),
+        F.lit(stored).cast("bigint").alias("stored"),
+    )
+
+
+def _features(t, metrics, close: bool = False):
+    stream = arriving(t, t.rollup.select("service_id", "timestamp", *METRICS), "timestamp", ("timestamp",), close)
     return jobs.sliding_features(
         stream,
         t.grid,
@@ -95,7 +159,8 @@ def stream_features(t):
     path = new_folder(t.spark, "features")
     features = _features(t, METRICS)
     jobs.feature_table(features, path, new_folder(t.spark, "feature-progress"), _state(t))
-    return t.spark.read.schema(features.schema).parquet(path)
+    found = t.spark.read.parquet(path)
+    return found.select("service_id", "timestamp", *FEATURES)
 
 
 @query(
@@ -116,13 +181,13 @@ def stream_score(t):
     return t.spark.read.parquet(path).select("service_id", "timestamp", "model_id", "probability")
 
 
-_DRIFTED = METRICS
+_DRIFTED = (*FEATURES, "probability")
 
 
 @query(
     "stream_drift",
     f"""WITH long AS (SELECT timestamp, feature, value FROM (UNPIVOT
-            (SELECT timestamp, {", ".join(_DRIFTED)} FROM telemetry)
+            (SELECT timestamp, {", ".join(FEATURES)}, error_rate__mean AS probability FROM features)
             ON {", ".join(_DRIFTED)} INTO NAME feature VALUE value)),
         edge AS (SELECT feature, count(*) AS n, list_sort(list_distinct(
             quantile_cont(value, [{", ".join(str(i / 10) for i in range(11))}]))) AS edges
@@ -147,46 +212,71 @@ _DRIFTED = METRICS
          CASE WHEN samples >= 50 THEN round(psi, 9) END AS psi FROM p""",
 )
 def stream_drift(t):
-    """Five-day intervals against the whole month."""
-    long = t.rollup.select("timestamp", *_DRIFTED).unpivot("timestamp", list(_DRIFTED), "feature", "value")
-    reference = stage(drift_reference(long.select("feature", "value"), 10), "reference")
+    """Five-day intervals against the whole month: windows and drift counters are two stateful steps of one query."""
+    rows = t.features.withColumn("probability", F.col("error_rate__mean"))
+    reference = stage(drift_reference(stage(to_long(rows, list(_DRIFTED)), "features-long"), 10), "reference")
     path = new_folder(t.spark, "drift")
-    stream = arriving(t, long, "timestamp", ("timestamp",), close=True)
-    # The closing row must name a feature, or the join with the reference would drop it.
-    stream = stream.withColumn(
-        "feature", F.when(F.col("feature") == END_MARK, _DRIFTED[0]).otherwise(F.col("feature"))
-    )
     jobs.drift_stream(
-        stream,
+        jobs.scored_features(_features(t, METRICS, close=True), lambda df: F.col("error_rate__mean")),
         reference,
         DriftConfig(minimum_samples=50),
         "5 days",
         path,
         new_folder(t.spark, "drift-progress"),
-        delay=LATENESS,
         state_partitions=_state(t),
     )
     return rounded(t.spark.read.parquet(path), "psi")
 
 
+@query(
+    "stream_health",
+    """WITH r AS (SELECT service_id, timestamp, epoch(ingested_at - timestamp)::DOUBLE AS lag,
+            time_bucket(INTERVAL 5 DAY, timestamp, TIMESTAMP '1970-01-01') AS "start" FROM telemetry),
+        i AS (SELECT DISTINCT "start" FROM r)
+       SELECT i."start", i."start" + INTERVAL 5 DAY AS "end", s.service_id, count(r.timestamp) AS rows,
+         CAST(120 AS BIGINT) AS expected_points, 120 - count(r.timestamp) AS missing_points,
+         count(r.timestamp) / 120.0::DOUBLE AS grid_completeness,
+         epoch(i."start" + INTERVAL 5 DAY - max(r.timestamp))::DOUBLE AS event_freshness_seconds,
+         min(lag) AS lag_min_seconds, quantile_cont(lag, 0.5) AS lag_median_seconds, max(lag) AS lag_max_seconds
+       FROM i CROSS JOIN services AS s LEFT JOIN r ON r."start" = i."start" AND r.service_id = s.service_id
+       GROUP BY i."start", s.service_id""",
+)
+def stream_health(t):
+    times = ("timestamp", "ingested_at")
+    path = new_folder(t.spark, "health")
+    jobs.health_stream(
+        arriving(t, t.rollup.select("service_id", *times), "timestamp", times, close=True),
+        stage(t.services, "services"),
+        t.grid,
+        timedelta(days=5),
+        path,
+        new_folder(t.spark, "health-progress"),
+        delay=LATENESS,
+        state_partitions=_state(t),
+    )
+    return t.spark.read.parquet(path)
+
+
 @query(
     "stream_delayed",
-    """SELECT id, service_id, timestamp, probability, CAST(EXISTS (SELECT 1 FROM incident_starts AS i
-         WHERE i.service_id = p.service_id AND i."start" > p.timestamp
-           AND i."start" <= p.timestamp + INTERVAL 10 HOUR) AS BIGINT) AS target
-       FROM stored_predictions AS p""",
+    f"WITH {_DELAYED} SELECT id, service_id, timestamp, probability, reason, target FROM delayed",
 )
 def stream_delayed(t):
-    predictions = t.stored_predictions.select("id", "service_id", "timestamp", "probability")
-    onsets = t.incident_starts.select("service_id", "start")
+    """Records in the order in which they became known, up to the cutoff of the batch form."""
     path = new_folder(t.spark, "delayed")
+    predictions = t.stored_predictions.select("id", "service_id", "timestamp", "probability", "produced_at")
+    onsets = t.incident_starts.select("service_id", "start", "recorded_at")
+    certificates = t.certificates.select("service_id", "start", "end", "recorded_at")
     jobs.delayed_stream(
-        arriving(t, predictions, "timestamp", ("timestamp",), close=True),
-        arriving(t, onsets, "start", ("start",), close=True),
+        arriving(t, predictions, "produced_at", ("timestamp", "produced_at"), close=True),
+        arriving(t, onsets, "recorded_at", ("start", "recorded_at"), close=True),
+        arriving(t, certificates, "recorded_at", ("start", "end", "recorded_at"), close=True),
         t.grid,
         path,
         new_folder(t.spark, "delayed-progress"),
         delay=LATENESS,
+        patience=timedelta(days=10),
+        cutoff=CUTOFF,
         state_partitions=_state(t),
     )
     return t.spark.read.parquet(path).where(F.col("service_id") != END_MARK)

@@ -13,24 +13,34 @@ from pyspark.sql import types as T
 from telemetry_ops.grid import moment
 
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def run_available(
     stream: DataFrame,
     handle: Callable[[DataFrame, int], None],
     checkpoint: str,
     output_mode: str = "append",
     state_partitions: int | None = None,
-) -> None:
-    """Process everything available, batch by batch, and stop.
+) -> dict[str, int]:
+    """Process everything available, batch by batch, and stop; returns ``batches, rows`` and ``late``.
 
-    ``state_partitions`` fixes the number of state partitions for this query only; a running query
-    keeps a copy of the settings it was started with.
+    ``late`` counts the rows that stateful steps refused because the watermark had passed them (a row
+    counts once per copy that such a step was sent). ``state_partitions`` fixes the number of state partitions
+    for this query only; a running query keeps a copy of the settings it was started with. State lies in
+    RocksDB, which stateful processors need and which keeps it off the heap.
     """
     spark = stream.sparkSession
-    name = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(name)
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
+        "spark.sql.streaming.numRecentProgressUpdates": "100000",
+    }
+    if state_partitions is not None:
+        wanted["spark.sql.shuffle.partitions"] = str(state_partitions)
+    before = {name: spark.conf.get(name, None) for name in wanted}
     try:
-        if state_partitions is not None:
-            spark.conf.set(name, str(state_partitions))
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
         running = (
             stream.writeStream.outputMode(output_mode)
             .foreachBatch(handle)
@@ -39,8 +49,15 @@ def run_available(
             .start()
         )
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
     running.awaitTermination()
+    steps = running.recentProgress
+    late = sum(o.numRowsDroppedByWatermark for p in steps for o in p.stateOperators)
+    return {"batches": len({p.batchId for p in steps}), "rows": sum(p.numInputRows for p in steps), "late": late}
 
 
 def local_state_partitions(spark: SparkSession) -> int:
