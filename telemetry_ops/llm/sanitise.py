@@ -192,9 +192,12 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     A null text stays null and has no span. Spans of terms have kind ``term`` (removed) or ``shape``
     (generalised). The words of all texts meet the table of terms, and the texts what was found in them, by broadcast
-    if that is counted as small. Columns named like the two new ones are replaced.
+    if that is counted as small. All columns of the documents are kept as they are, whatever their names; where one is
+    called ``base`` or ``found``, the spans get that name with underscores behind it. Repeated rows stay and count
+    as documents of their own; an empty table gives no rows.
     """
-    kept = [c for c in docs.columns if c not in ("base", "found")]
+    kept = docs.columns
+    base_name, found_name = _free("base", kept), _free("found", kept)
     texts = docs.where("text is not null")
     terms = stage(disclosing_terms(texts.select("text")), "disclosing-terms")
     key = F.md5(F.col("text").cast("binary"))
@@ -204,7 +207,9 @@ def sanitise(docs: DataFrame) -> DataFrame:
     hits = words.join(broadcast_if_small(terms, terms.count(), 64), "term").groupBy("__key")
     hits = stage(hits.agg(*[F.collect_set(F.when(F.col("remove") == gone, F.col("term"))).alias(c) for c, gone in (("__gone", True), ("__shaped", False))]), "disclosing-texts")
     size = hits.agg(F.sum(1 + F.size("__gone") + F.size("__shaped"))).first()[0] or 0
-    rows = texts.select(*kept, base_spans(F.col("text")).alias("base"))
+    # The user's columns travel in a struct, so that none of them can clash with a name used here.
+    own = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
+    rows = texts.select(own, "text", base_spans(F.col("text")).alias("base"))
     some = rows.join(broadcast_if_small(hits, size, 64), F.col("__key") == key, "left").withColumn("__clear", _clear(F.col("text"), F.col("base")))
     gone = lambda w: F.array_contains(F.col("__gone"), F.lower(w))
     shaped = lambda w: F.array_contains(F.col("__shaped"), F.lower(w))
@@ -218,9 +223,17 @@ def sanitise(docs: DataFrame) -> DataFrame:
     extra = F.when(F.col("__key").isNotNull(), named).otherwise(F.array().cast(_NONE))
     some = some.withColumn("found", F.concat("base", extra))
     text = F.when(F.size("found") == 0, F.col("text")).otherwise(_replaced(F.col("text"), F.col("found"))).alias("text")
-    done = some.select(*[text if c == "text" else F.col(c) for c in kept], "base", "found")
+    done = some.select(
+        *[text if c == "text" else F.col("row").getField(c).alias(c) for c in kept], F.col("base").alias(base_name), F.col("found").alias(found_name)
+    )
     none = F.array().cast(_NONE)
-    return docs.where("text is null").select(*kept, none.alias("base"), none.alias("found")).unionByName(done)
+    return docs.where("text is null").select(*[F.col(f"`{c}`") for c in kept], none.alias(base_name), none.alias(found_name)).unionByName(done)
+
+
+def _free(name: str, taken: list[str]) -> str:
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
 
 
 def span_report(docs: DataFrame) -> DataFrame:

@@ -57,19 +57,24 @@ def tidy(run: Callable) -> Callable:
 
 
 def most_frequent(counts: DataFrame, item: str, n: str, limit: int) -> pd.DataFrame:
-    """At most ``limit`` items with the largest counts, most frequent first, on the driver.
+    """The ``limit`` items with the largest counts, most frequent first, equal counts by item, on the driver.
 
-    The counts' own distribution, at most some ten thousand steps of a logarithmic scale, tells from which
-    step on they fit; items of the step that no longer fits stay out. No task sends more than its share.
+    The counts' own distribution, at most some ten thousand steps of a logarithmic scale, tells down to which
+    step all fit; of the step that no longer fits, the first ones in order are taken by a top-k over tasks. No task
+    sends more than its share.
     """
     step = F.floor(F.log2(F.col(n).cast("double")) * 1024)
     steps = counts.groupBy(step.alias("step")).agg(F.count("*").alias("items")).toPandas().sort_values("step", ascending=False)
-    fit = steps[steps["items"].cumsum() <= limit]
-    least = int(fit["step"].min()) if len(fit) else None
-    if least is None:
+    fit = steps["items"].cumsum() <= limit
+    parts, rest = [], limit - int(steps["items"][fit].sum())
+    if fit.any():
+        parts.append(counts.where(step >= int(steps["step"][fit].min())).select(item, n).toPandas())
+    if rest and not fit.all():
+        split = int(steps["step"][~fit].max())
+        parts.append(counts.where(step == split).select(item, n).orderBy(F.desc(n), item).limit(rest).toPandas())
+    if not parts:
         return pd.DataFrame({item: [], n: []})
-    found = counts.where(step >= least).select(item, n).toPandas()
-    return found.sort_values([n, item], ascending=[False, True], ignore_index=True)
+    return pd.concat(parts).sort_values([n, item], ascending=[False, True], ignore_index=True)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

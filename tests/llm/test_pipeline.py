@@ -29,6 +29,32 @@ def test_stages_keep_columns_and_clean_documents(spark):
     assert {r["doc_id"] for r in ids} == seen[-1] and all(r["n_tokens"] == len(r["ids"]) > 0 for r in ids)
 
 
+def test_columns_of_the_user_and_empty_tables(spark):
+    """Names that stages use themselves survive with their values, and an empty table passes through all stages."""
+    own = ("base", "found", "__key", "row", "term", "n", "count", "rate", "lang_pred", "score", "component_id", "kept")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 3000")
+    more = docs.selectExpr("*", *[f"'{c}' AS `{c}`" for c in own]).cache()
+    for first in (more, more.where("false")):
+        got = first
+        for _, step in C.STAGES[:-1]:
+            got = step(spark, got, SF).cache()
+            assert got.columns == first.columns
+        assert got.where(" OR ".join(f"`{c}` <> '{c}'" for c in own)).count() == 0
+        assert C.STAGES[-1][1](spark, got, SF).count() == got.count()
+        assert (got.count() > 0) == (first is more)
+
+
+def test_most_frequent_with_ties(spark):
+    from telemetry_ops.llm.text import most_frequent
+
+    equal = spark.createDataFrame([(f"w{k:04}", 7) for k in range(500)], "w string, n long")
+    assert most_frequent(equal, "w", "n", 400)["w"].tolist() == [f"w{k:04}" for k in range(400)]
+    mixed = equal.unionByName(spark.createDataFrame([("top", 90), ("low", 1)], "w string, n long"))
+    assert most_frequent(mixed, "w", "n", 3)["w"].tolist() == ["top", "w0000", "w0001"]
+    assert len(most_frequent(mixed, "w", "n", 502)) == 502 == len(most_frequent(mixed, "w", "n", 9000))
+    assert most_frequent(equal.where("false"), "w", "n", 5).empty
+
+
 def test_copies_with_one_id_are_one_document(spark):
     text = "one two three four five six seven"
     docs = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text), (3, ""), (4, None)], "doc_id long, text string")
@@ -38,4 +64,4 @@ def test_copies_with_one_id_are_one_document(spark):
 
 def test_every_operator_is_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
-    assert numbers == list(range(1, 11)) and set(queries.SQL) <= set(queries.QUERIES)
+    assert numbers == list(range(1, 14)) and set(queries.SQL) <= set(queries.QUERIES)

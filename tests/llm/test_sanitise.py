@@ -72,7 +72,8 @@ def test_terms_that_disclose(spark):
     assert values["Zanzibar"] == "term" and values["wrote"] == "term" and "alpha" not in values
     assert "Zanzibar" not in found[0]["text"] and "<EMAIL>" in found[0]["text"] and "j.doe" not in found[0]["text"]
     assert values["today"] == "shape" and "<WORD>" in found[0]["text"]  # others say it, too seldom to hide the link
-    assert found[10]["text"] == rows[4][1] and found[80]["text"] == "today is fine"
+    # A disclosing term is acted on in every text, also in one without the entity.
+    assert found[10]["text"] == rows[4][1] and found[80]["text"] == "<WORD> is fine"
     assert all(s["kind"] == "email" for i in range(5) for s in found[90 + i]["found"])  # one text is no evidence
 
 
@@ -95,3 +96,13 @@ def test_columns_and_empty_table(spark):
     assert got.columns == ["doc_id", "text", "lang", "base", "found"]
     assert sorted(str(r["text"]) for r in got.collect()) == ["None", "mail <EMAIL>"]
     assert S.span_report(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_columns_of_the_user_are_kept(spark):
+    own = ("base", "found", "__key", "__gone", "__shaped", "__clear", "row", "base_", "term")
+    df = spark.createDataFrame([(1, "mail a@b.c", *own), (2, None, *own)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in own))
+    got = S.sanitise(df)
+    assert got.columns == [*df.columns, "base__", "found_"]
+    for r in got.collect():
+        assert [r[c] for c in own] == list(own) and r["text"] in ("mail <EMAIL>", None)
+        assert [s["value"] for s in r["found_"]] == (["a@b.c"] if r["text"] else [])
