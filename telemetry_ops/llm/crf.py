@@ -15,18 +15,19 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemetry_ops.llm.text import column, fold, slices, small_batches, tidy
 
 FOLDS, HELD = 5, 0
 UNKNOWN = "und"
-#: Hashed features, and labels at most (the most frequent ones).
-FEATURES, LABELS = 1 << 17, 64
-#: Labelled documents and words of one document that training uses at most: the bound of the sample. A longer
-#: document is represented by equally spaced runs of words from all of it.
-SAMPLE_ROWS, SAMPLE_WORDS, RUN = 2400, 120, 20
+#: Hashed features, and weights at most: beyond 64 languages there are fewer features, never fewer languages.
+FEATURES, WEIGHTS, LEAST_FEATURES = 1 << 17, 1 << 23, 1 << 13
+#: The bound of the sample: so many labelled documents in all, shared out evenly over the languages, but so many of
+#: each language in any case; and words of one document. A longer document is represented by equally spaced
+#: runs of words from all of it.
+SAMPLE_ROWS, LEAST_SAMPLE, SAMPLE_WORDS, RUN = 4000, 24, 120, 20
 #: Texts in which a word must occur in the sample to enter the lexicon.
 LEXICON = 3
 EPOCHS, RATE, RIDGE = 12, 0.5, 1e-6
@@ -54,7 +55,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def features(words: list[str], lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(words: list[str], lexicon: np.ndarray, width: int = FEATURES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Owner, hashed feature and weight; n-grams of a word weigh together as much as two affixes."""
     n = len(words)
     padded = [f"\x02{w}\x03" for w in words]
@@ -93,7 +94,7 @@ def features(words: list[str], lexicon: np.ndarray) -> tuple[np.ndarray, np.ndar
             add(known, whole[known], np.full(len(known), 1.5), 64)
         ascii_ = np.array([w.isascii() for w in words])
         add(np.arange(n), ascii_.astype(np.uint64), np.full(n, 0.3), 65)
-    return np.concatenate(owners), (np.concatenate(keys) % np.uint64(FEATURES)).astype(np.int64), np.concatenate(weights)
+    return np.concatenate(owners), (np.concatenate(keys) % np.uint64(width)).astype(np.int64), np.concatenate(weights)
 
 
 @dataclass
@@ -105,7 +106,7 @@ class Field:
     lexicon: np.ndarray
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        own, key, weight = features(words, self.lexicon)
+        own, key, weight = features(words, self.lexicon, len(self.weights))
         return np.stack(
             [np.bincount(own, weights=weight * self.weights[key, k], minlength=len(words)) for k in range(len(self.labels))], axis=1
         ) if words else np.zeros((0, len(self.labels)))
@@ -147,12 +148,14 @@ def forward_backward(scores: np.ndarray, sizes: np.ndarray, transitions: np.ndar
 
 def train(texts: list[list[str]], langs: list[str]) -> Field:
     """Accelerated gradient ascent over the sample; per-feature steps (Adagrad)."""
-    labels = pd.Series(langs).value_counts()
-    labels = sorted(labels.index[:LABELS]) if len(labels) else []
+    labels = sorted(set(langs))
+    width = FEATURES
+    while width * len(labels) > WEIGHTS and width > LEAST_FEATURES:
+        width //= 2
     index = {c: i for i, c in enumerate(labels)}
     use = [i for i, c in enumerate(langs) if c in index and texts[i]]
     k = len(labels)
-    empty = Field(labels, np.zeros((FEATURES, max(k, 1))), np.zeros((max(k, 1),) * 2), np.zeros(max(k, 1)), np.zeros(0, np.uint64))
+    empty = Field(labels, np.zeros((width, max(k, 1))), np.zeros((max(k, 1),) * 2), np.zeros(max(k, 1)), np.zeros(0, np.uint64))
     if not use:
         return empty
     seen = pd.Series([w for i in use for w in set(texts[i])]).value_counts()
@@ -160,9 +163,9 @@ def train(texts: list[list[str]], langs: list[str]) -> Field:
     lexicon = np.sort(pd.util.hash_array(frequent, categorize=False)) if len(frequent) else np.zeros(0, np.uint64)
     distinct = sorted(seen.index)
     place = {w: i for i, w in enumerate(distinct)}
-    own, key, weight = features(distinct, lexicon)
-    f = Field(labels, np.zeros((FEATURES, k)), np.zeros((k, k)), np.zeros(k), lexicon)
-    squares, trans_squares, start_squares = np.full((FEATURES, k), 1e-8), np.full((k, k), 1e-8), np.full(k, 1e-8)
+    own, key, weight = features(distinct, lexicon, width)
+    f = Field(labels, np.zeros((width, k)), np.zeros((k, k)), np.zeros(k), lexicon)
+    squares, trans_squares, start_squares = np.full((width, k), 1e-8), np.full((k, k), 1e-8), np.full(k, 1e-8)
     codes = [np.array([place[w] for w in texts[i]]) for i in use]
     gold = [index[langs[i]] for i in use]
     rng = np.random.default_rng(7)
@@ -185,20 +188,21 @@ def train(texts: list[list[str]], langs: list[str]) -> Field:
             per_word = np.stack([np.bincount(inverse, weights=delta[:, j], minlength=len(batch)) for j in range(k)], axis=1)
             n = len(y)
             for j in range(k):
-                g = np.bincount(c, weights=v * per_word[o, j], minlength=FEATURES) / n - RIDGE * f.weights[:, j]
+                g = np.bincount(c, weights=v * per_word[o, j], minlength=width) / n - RIDGE * f.weights[:, j]
                 squares[:, j] += g * g
                 f.weights[:, j] += RATE * g / np.sqrt(squares[:, j])
             observed = np.zeros((k, k))
             np.add.at(observed, ([gold[i] for i in part],) * 2, sizes - 1)
             g = (observed - expected) / n
             trans_squares += g * g
+            # Texts may switch: a step ends inside the bound that keeps a word's own evidence from being outvoted by
+            # endless runs of one language. What all transitions have in common changes no probability.
             f.transitions += 0.1 * g / np.sqrt(trans_squares)
+            f.transitions = np.maximum(f.transitions - f.transitions.max(), -3.0)
             first = np.cumsum(sizes) - sizes
             g = delta[first].sum(0) / n
             start_squares += g * g
             f.start += 0.1 * g / np.sqrt(start_squares)
-    # Texts may switch: keep a word's own evidence from being outvoted by endless runs of one language.
-    f.transitions = np.clip(f.transitions - f.transitions.max(), -3.0, 0.0)
     return f
 
 
@@ -214,25 +218,32 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in slices(batch, "text"):
             runs = [" ".join(_runs(words_of(t.decode("utf-8", "replace")))) for t in column(piece, "text")]
-            yield pa.record_batch([piece.column(piece.schema.get_field_index("lang")), pa.array(runs, pa.string())], ["lang", "words"])
+            kept = [piece.column(piece.schema.get_field_index(c)) for c in ("lang", "h")]
+            yield pa.record_batch([*kept, pa.array(runs, pa.string())], ["lang", "h", "words"])
 
 
 def fit(docs: DataFrame) -> Field:
-    """Learn from at most ``SAMPLE_ROWS`` documents with a text and a language outside the held fold, chosen by
-    a hash of text and id, evenly over languages."""
+    """Learn every language of the documents with a text and a language outside the held fold.
+
+    The sample has the documents with the smallest hashes of each language, ``max(LEAST_SAMPLE, SAMPLE_ROWS //
+    languages)`` of them; rows that repeat an id and a text count once. Languages are counted first, which reads one
+    column; then texts are read once, where each row's hash is below its language's bound, one that lets
+    about twice the wanted number through.
+    """
     rows = small_batches(docs).where("text is not null and lang is not null").where(fold(F.col("doc_id"), FOLDS) != HELD)
-    counts = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LABELS).select("lang").collect()]
-    each = max(1, SAMPLE_ROWS // max(1, len(counts)))
-    chosen = None
-    for lang in counts:
-        part = rows.where(F.col("lang") == lang).select("lang", F.xxhash64("doc_id", F.length("text")).alias("h"), F.col("doc_id").alias("id"))
-        part = part.orderBy("h", "id").limit(each)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    if chosen is None:
+    rows = rows.select(F.col("lang").cast("string").alias("lang"), "text", F.col("doc_id").cast("string").alias("id"))
+    counts = rows.groupBy("lang").count().toPandas()  # one row per language
+    if not len(counts):
         return train([], [])
-    picked = F.broadcast(chosen.select(F.col("id").alias("doc_id"), "lang").distinct())  # SAMPLE_ROWS rows
-    texts = rows.select("doc_id", "lang", F.col("text").cast("binary").alias("text")).join(picked, ["doc_id", "lang"], "left_semi")
-    local = texts.select("lang", "text").mapInArrow(_sample, "lang string, words string").orderBy("lang", "words").limit(SAMPLE_ROWS).toPandas()
+    each = max(LEAST_SAMPLE, SAMPLE_ROWS // len(counts))
+    share = (2.0 * each + 50) / counts["count"]
+    bound = [int(x) for x in np.minimum(share, 1.0) * float(1 << 62)]
+    bounds = docs.sparkSession.createDataFrame(list(zip(counts["lang"].tolist(), bound)), "lang string, bound long")
+    place = F.shiftrightunsigned(F.xxhash64("id", "text"), 2)
+    near = rows.select("lang", "id", "text", place.alias("h")).join(F.broadcast(bounds), "lang").where("h <= bound")  # one row per language
+    near = near.select("lang", "h", F.col("text").cast("binary").alias("text")).mapInArrow(_sample, "lang string, h long, words string").distinct()
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "words"))
+    local = near.withColumn("place", first).where(F.col("place") <= each).toPandas().sort_values(["lang", "h", "words"])
     return train([w.split(" ") if w else [] for w in local["words"]], local["lang"].tolist())
 
 
@@ -244,6 +255,19 @@ class Reader:
         self.known: dict[str, int] = {}
         self.table = np.zeros((0, len(field.labels)))
 
+    def words(self, raw: list[bytes | None]) -> list[list[dict]]:
+        """The words of each text with the likeliest language of each and its marginal."""
+        f, found = self.field, []
+        for t in raw:
+            words = words_of(t.decode("utf-8", "replace")) if t else []
+            if not words or not f.labels:
+                found.append([{"word": w, "lang": UNKNOWN, "score": 0.0} for w in words])
+                continue
+            marginal, _, _ = forward_backward(f.emissions(words), np.array([len(words)]), f.transitions, f.start)
+            best = marginal.argmax(1)
+            found.append([{"word": w, "lang": f.labels[b], "score": float(m[b])} for w, b, m in zip(words, best, marginal)])
+        return found
+
     def read(self, raw: list[bytes | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, score, words and switches of each text."""
         f, k = self.field, len(self.field.labels)
@@ -314,6 +338,24 @@ def predict(docs: DataFrame, field: Field) -> DataFrame:
     return rows.mapInArrow(_predict(field), PREDICTED)
 
 
+def _label_words(f: Field):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("word", pa.string()), ("lang", pa.string()), ("score", pa.float64())]))
+        reader = Reader(f)
+        for batch in batches:
+            for piece in slices(batch, "text", 256 << 10):
+                labels = pa.array(reader.words(column(piece, "text")), kind)
+                yield pa.record_batch([piece.column(piece.schema.get_field_index("doc_id")), labels], ["doc_id", "words"])
+
+    return run
+
+
+def word_languages(docs: DataFrame, field: Field) -> DataFrame:
+    """``doc_id, words``: each word of a text, in order, with its own language and marginal; null and empty texts have none."""
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(_label_words(field), "doc_id long, words array<struct<word: string, lang: string, score: double>>")
+
+
 def language_id(docs: DataFrame) -> DataFrame:
     """One row of ``PREDICTED`` per document; ``score`` is the mean marginal of the language over the words.
 
