@@ -11,7 +11,6 @@ from telemetry_ops.plans.registry import query
 from telemetry_ops.plans.scoring import _ap, _auc, _losses, rounded
 from telemetry_ops.plans.windows import _STARTS, ORDINAL_CUTS, ordinal_rows
 
-SEED = 2026
 KEEP = ["run_id", "service_id", "timestamp", "partition", TARGET]
 
 
@@ -33,7 +32,7 @@ def _forecast_rows(t):
 
 def _fit(rows, family):
     return models.fit_candidates(
-        rows.where("partition = 'train'"), rows.where("partition = 'calibration'"), SEED, families=(family,)
+        rows.where("partition = 'train'"), rows.where("partition = 'calibration'"), families=(family,)
     )
 
 
