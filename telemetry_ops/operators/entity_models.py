@@ -1,8 +1,9 @@
 """One logistic model per machine, all machines fitted together.
 
 Every Newton step is one Spark job: tasks add up gradient and curvature terms of the machines they
-hold, the sums are combined by (machine, term), and each machine's small system is solved on its
-own row. A machine's rows stay spread over many tasks, so one machine may own most of the data.
+hold, one packed row per machine and task. These rows are added up as vectors, first over groups of tasks and
+then over all, and each machine's small system is solved on its own row. A machine's rows stay spread over
+many tasks, so one machine may own most of the data.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from telemetry_ops.functions.session import broadcast_if_small, stage
 
 FLUSH_MACHINES = 256
+#: Groups of tasks whose sums are added up first.
+GROUPS = 64
 
 
 def class_counts(train: DataFrame, key: str, target: str) -> DataFrame:
@@ -55,7 +58,7 @@ def _terms(key: str):
 
         def flush():
             frame = pd.DataFrame(
-                {key: list(sums), "terms": [np.concatenate([g, h.ravel()]) for g, h in sums.values()]}
+                {key: list(sums), "terms": [np.concatenate([g, h.ravel()]).tobytes() for g, h in sums.values()]}
             )
             sums.clear()
             return frame
@@ -80,6 +83,37 @@ def _terms(key: str):
     return add_up
 
 
+def _added(key: str):
+    """Sums of packed vectors; rows come in order of the key, so that one sum is held at a time."""
+
+    def add_up(batches):
+        current, total = None, None
+        for batch in batches:
+            done = []
+            for machine, packed in zip(batch[key], batch["terms"]):
+                part = np.frombuffer(packed)
+                if total is not None and machine == current:
+                    total = total + part
+                    continue
+                if total is not None:
+                    done.append((current, total.tobytes()))
+                current, total = machine, part
+            if done:
+                yield pd.DataFrame(done, columns=[key, "terms"])
+        if total is not None:
+            yield pd.DataFrame([(current, total.tobytes())], columns=[key, "terms"])
+
+    return add_up
+
+
+def _sum_by(partial: DataFrame, key: str) -> DataFrame:
+    """One packed vector per key, from one per key and task: by groups of tasks first."""
+    schema = ", ".join(f"{n} {k}" for n, k in partial.dtypes)
+    grouped = partial.withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(GROUPS)))
+    grouped = grouped.repartition(key, "_group").sortWithinPartitions(key).drop("_group").mapInPandas(_added(key), schema)
+    return grouped.repartition(key).sortWithinPartitions(key).mapInPandas(_added(key), schema)
+
+
 def _solve(key: str, strength: float):
     """One damped Newton step per machine; the intercept carries no penalty."""
 
@@ -90,7 +124,7 @@ def _solve(key: str, strength: float):
                 w = np.asarray(w)
                 d = len(w)
                 penalty = np.r_[np.ones(d - 1), 0.0]
-                terms = np.asarray(terms)
+                terms = np.frombuffer(terms)
                 gradient = strength * terms[:d] + penalty * w
                 curvature = strength * terms[d:].reshape(d, d) + np.diag(penalty + 1e-10)
                 move = np.linalg.solve(curvature, gradient)
@@ -134,15 +168,8 @@ def fit_per_entity(
     kind = dict(train.dtypes)[key]
     for _ in range(steps):
         current = broadcast_if_small(weights, machines, 8 * width)
-        partial = rows.join(current, key).mapInPandas(_terms(key), f"{key} {kind}, terms array<double>")
-        summed = (
-            partial.select(key, F.posexplode("terms").alias("pos", "v"))
-            .groupBy(key, "pos")
-            .agg(F.sum("v").alias("v"))
-            .groupBy(key)
-            .agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("_t"))
-            .select(key, F.transform("_t", lambda t: t["v"]).alias("terms"))
-        )
+        partial = rows.join(current, key).mapInPandas(_terms(key), f"{key} {kind}, terms binary")
+        summed = _sum_by(partial, key)
         moved = summed.join(weights, key).mapInPandas(
             _solve(key, strength), f"{key} {kind}, weights array<double>, change double"
         )
@@ -153,13 +180,30 @@ def fit_per_entity(
     return scaling.join(state.select(key, "weights", (F.col("change") < tolerance).alias("converged")), key)
 
 
-def score_per_entity(rows: DataFrame, models: DataFrame, key: str, features: str) -> DataFrame:
-    """Adds ``probability``; machines without a model are dropped (see ``class_counts``)."""
-    z = _standardised(features)
+def _probability(z):
     dot = F.aggregate(
         F.zip_with(z, F.slice("weights", 1, F.size("weights") - 1), lambda x, w: x * w),
         F.element_at("weights", -1),
         lambda a, b: a + b,
     )
+    return 1.0 / (1.0 + F.exp(-dot))
+
+
+def score_per_entity(rows: DataFrame, models: DataFrame, key: str, features: str) -> DataFrame:
+    """Adds ``probability`` and ``converged``; machines without a model are dropped (see ``class_counts``)."""
     joined = rows.join(models, key)
-    return joined.withColumn("probability", 1.0 / (1.0 + F.exp(-dot))).drop("_mean", "_std", "weights", "converged")
+    return joined.withColumn("probability", _probability(_standardised(features))).drop("_mean", "_std", "weights")
+
+
+def gradient_at(train: DataFrame, models: DataFrame, key: str, features: str, target: str, strength: float = 1.0) -> DataFrame:
+    """``key, training_rows, gradient``: the largest slope of each machine's penalised loss at its weights.
+
+    Computed from the rows and the returned weights alone, so it audits a fit: at the optimum it is 0.
+    """
+    z = _standardised(features)
+    scored = train.join(models, key).select(key, "weights", F.concat(z, F.array(F.lit(1.0))).alias("z"), (_probability(z) - F.col(target)).alias("miss"))
+    terms = scored.select(key, "weights", "miss", F.posexplode("z").alias("pos", "x")).groupBy(key, "pos").agg(
+        F.sum(F.col("miss") * F.col("x")).alias("slope"), F.first("weights").alias("weights"), F.count(F.lit(1)).alias("training_rows")
+    )
+    penalty = F.when(F.col("pos") + 1 < F.size("weights"), F.get("weights", F.col("pos"))).otherwise(0.0)
+    return terms.groupBy(key).agg(F.first("training_rows").alias("training_rows"), F.max(F.abs(strength * F.col("slope") + penalty)).alias("gradient"))

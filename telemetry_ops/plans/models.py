@@ -70,14 +70,17 @@ def _study_rows(t):
     return stage(found, "study-rows"), stage(starts, "study-starts")
 
 
+def _entity_rows(t):
+    rows, _ = _study_rows(t)
+    inputs = F.array(*[F.col(m) for m in METRICS], *[F.col(f"{m}__mean") for m in METRICS])
+    return rows.select("machine", "ordinal", "partition", "y", inputs.alias("x"))
+
+
 @query("per_entity_models")
 def per_entity_models(t):
     """Logistic per machine on current values and trailing means, scored on later partitions."""
-    rows, _ = _study_rows(t)
-    inputs = F.array(*[F.col(m) for m in METRICS], *[F.col(f"{m}__mean") for m in METRICS])
-    rows = rows.select("machine", "ordinal", "partition", "y", inputs.alias("x"))
-    train = rows.where("partition = 'train'")
-    fitted = entity_models.fit_per_entity(train, "machine", "x", "y")
+    rows = _entity_rows(t)
+    fitted = entity_models.fit_per_entity(rows.where("partition = 'train'"), "machine", "x", "y")
     later = rows.where("partition IN ('validation', 'evaluation')")
     return entity_models.score_per_entity(later, fitted, "machine", "x").drop("x")
 
@@ -127,6 +130,19 @@ def _study_sql(by: str) -> str:
       LEFT JOIN ({_losses(by, "scored")}) USING ({by}) LEFT JOIN e USING ({by}) LEFT JOIN a USING ({by})"""
 
 
+@query(
+    "per_entity_gradient",
+    f"""WITH {_SCORED} SELECT machine, count(*) AS training_rows, 0.0::DOUBLE AS gradient, TRUE AS converged FROM study
+        WHERE partition = 'train' GROUP BY machine HAVING min(y) < max(y)""",
+)
+def per_entity_gradient(t):
+    """Every machine's weights are an optimum: the slope of its loss, recomputed from the rows, is 0 to six digits."""
+    train = _entity_rows(t).where("partition = 'train'")
+    fitted = stage(entity_models.fit_per_entity(train, "machine", "x", "y"), "entity-models")
+    found = entity_models.gradient_at(train, fitted, "machine", "x", "y").join(fitted.select("machine", "converged"), "machine")
+    return found.withColumn("gradient", F.abs(F.round("gradient", 6)))
+
+
 def _study_scores(t):
     rows, starts = _study_rows(t)
     prior = rows.where("partition = 'train'").groupBy("machine").agg(F.round(F.avg("y"), 9).alias("_prior"))
