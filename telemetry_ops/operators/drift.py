@@ -169,12 +169,16 @@ def overall_status(results: DataFrame) -> DataFrame:
 
 
 def training_reference(
-    rows: DataFrame, assignments: DataFrame, keys: list[str], columns: list[str], bins: int
+    rows: DataFrame, assignments: DataFrame, allowed: DataFrame, keys: list[str], columns: list[str], bins: int
 ) -> DataFrame:
     """Reference over the rows assigned to ``train`` and nothing else.
 
-    Run ``training_violations`` first; it finds what must not be in a training reference.
+    Refuses what ``training_violations`` finds: repeated assignments, training keys without features, and
+    training rows outside the ``allowed`` keys.
     """
+    found = {r["rule"]: r["rows"] for r in training_violations(rows, assignments, allowed, keys).collect() if r["rows"]}
+    if found:
+        raise ValueError(f"No reference is built from these training rows: {found}")
     train = assignments.where("partition = 'train'").select(*keys)
     return drift_reference(to_long(rows.join(train, keys, "left_semi"), columns), bins)
 

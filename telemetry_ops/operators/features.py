@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemetry_ops.functions.timeline import CHUNK, OWN, chunk_window, with_halo
@@ -247,14 +247,20 @@ def point_in_time_features(
 def attach_targets(features: DataFrame, labels: DataFrame, keys=("service_id", "timestamp")):
     """One-to-one key join that keeps rows with full history, full horizon and a known target.
 
-    Check ``unmatched_features`` and ``duplicate_keys`` first: every feature key must have exactly
-    one label.
+    The query fails on a feature key without a label and on a key that either side holds more than once;
+    ``unmatched_features`` and ``duplicate_keys`` list them. Counting keys needs no shuffle beyond that of the join.
     """
-    return (
-        features.join(labels, list(keys))
-        .where(F.col("history_complete") & F.col("horizon_complete") & F.col(TARGET).isNotNull())
-        .drop("history_complete", "horizon_complete")
-    )
+    keys = list(keys)
+    copies = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    known = labels.withColumn("_labels", copies)
+    asked = features.withColumn("_features", copies)
+    refused = (
+        F.when(F.col("_labels").isNull(), F.raise_error(F.concat(F.lit("Feature without a label: "), F.to_json(F.struct(*keys)))).cast("boolean"))
+        .when((F.col("_labels") > 1) | (F.col("_features") > 1), F.raise_error(F.concat(F.lit("Repeated key: "), F.to_json(F.struct(*keys)))).cast("boolean"))
+    )
+    eligible = F.col("history_complete") & F.col("horizon_complete") & F.col(TARGET).isNotNull()
+    joined = asked.join(known, keys, "left").where(refused.otherwise(eligible))
+    return joined.drop("history_complete", "horizon_complete", "_labels", "_features")
 
 
 def unmatched_features(features: DataFrame, labels: DataFrame, keys=("service_id", "timestamp")):

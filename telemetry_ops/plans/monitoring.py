@@ -75,7 +75,10 @@ def training_reference(t):
     """The same reference, reached from an assignment table instead of labelled rows."""
     keys = ["run_id", "service_id", "timestamp"]
     rows = _with_probability(t.modelling_rows)
-    found = drift.training_reference(rows, t.rule_rows.select(*keys, "partition"), keys, COLUMNS, CONFIG.bins)
+    assignments = stage(t.rule_rows.select(*keys, "partition"), "assignments")
+    region = t.runs.where("group = 'development'").select("run_id")
+    allowed = rows.join(F.broadcast(region), "run_id", "left_semi").select(*keys)  # as many runs as the month has
+    found = drift.training_reference(rows, assignments, allowed, keys, COLUMNS, CONFIG.bins)
     return _reference_rows(found)
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from telemetry_ops.functions.session import new_folder
 from telemetry_ops.grid import TARGET
-from telemetry_ops.operators import bootstrap, episodes, scores
+from telemetry_ops.operators import bootstrap, episodes, experiment, scores
 from telemetry_ops.plans.registry import query
 from telemetry_ops.plans.tables import STAGES, THRESHOLD
 
@@ -317,6 +318,48 @@ def choose_model(t):
     return scores.choose_model(rounded(table, "average_precision", "brier", "log_loss"))
 
 
+#: Rule scores reach 1, so that only a level above it raises no alert at all.
+_NO_ALERT = 2.0
+_FROZEN = f"""swept AS {_SWEPT.replace("]) AS threshold", f", {_NO_ALERT}::DOUBLE]) AS threshold")},
+  v AS (SELECT * FROM predictions WHERE partition = 'validation'),
+  m AS (SELECT *, regexp_replace(candidate, '_(raw|sigmoid)$', '') AS family
+        FROM ({_ap("candidate", "v")}) JOIN ({_losses("candidate", "v")}) USING (candidate)),
+  best AS (SELECT * FROM m WHERE candidate LIKE '%\\_raw' ESCAPE '\\'
+           ORDER BY average_precision DESC NULLS LAST, log_loss, candidate LIMIT 1),
+  choice AS (SELECT CASE WHEN s.brier < b.brier AND s.log_loss < b.log_loss THEN s.candidate ELSE b.candidate END AS selected
+             FROM best AS b LEFT JOIN m AS s ON s.family = b.family AND s.candidate = b.family || '_sigmoid'),
+  cuts AS (SELECT candidate, threshold FROM (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY
+              incident_detection_rate DESC NULLS LAST, alert_minutes, threshold DESC) AS rank
+            FROM ({_operational("candidate", "threshold", "swept", "threshold, ")})
+            WHERE false_alerts_per_service_day <= {BUDGET}) WHERE rank = 1),
+  held AS (SELECT p.*, threshold, candidate = (SELECT selected FROM choice) AS selected
+           FROM predictions AS p JOIN cuts USING (candidate) WHERE partition IN ('temporal_test', 'heldout_run'))"""
+
+
+@query(
+    "select_then_score",
+    f"""WITH {_FROZEN}
+      SELECT c.*, o.* EXCLUDE (partition, candidate), average_precision, brier, log_loss
+      FROM (SELECT partition, candidate, any_value(threshold) AS threshold, any_value(selected) AS selected, count(*) AS rows,
+          count(*) FILTER (target = 1 AND probability >= threshold) AS tp, count(*) FILTER (target = 0 AND probability >= threshold) AS fp,
+          count(*) FILTER (target = 1 AND probability < threshold) AS fn, count(*) FILTER (target = 0 AND probability < threshold) AS tn
+        FROM held GROUP BY ALL) AS c
+      JOIN ({_operational("partition, candidate", "threshold", "held")}) AS o USING (partition, candidate)
+      JOIN ({_ap("partition, candidate", "held")}) USING (partition, candidate)
+      JOIN ({_losses("partition, candidate", "held")}) USING (partition, candidate)""",
+)
+def select_then_score(t):
+    """Model and thresholds are chosen on validation rows and frozen; held-out rows are scored by the record alone."""
+    path = new_folder(t.spark, "selection")
+    validation, levels = t.predictions.where("partition = 'validation'"), [*episodes.default_thresholds(), _NO_ALERT]
+    experiment.freeze_selection(validation, t.run_incidents, t.grid, BUDGET, path, thresholds=levels)
+    held = t.predictions.where(F.col("partition").isin("temporal_test", "heldout_run"))
+    scored = experiment.score_held_out(t.spark, path, held, lambda rows: rows)
+    found = experiment.held_out_metrics(scored, t.run_incidents, t.grid)
+    names = (*_ROUNDED, "average_precision", "brier", "log_loss")
+    return rounded(found.drop("prevalence", "positives", "precision", "recall", "roc_auc"), *names)
+
+
 def _all_metrics(by: str) -> str:
     return f"""SELECT * FROM (SELECT {by}, {_RATES} FROM (SELECT {by}, {_COUNTS}
             FROM predictions GROUP BY ALL))
