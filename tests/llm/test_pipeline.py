@@ -32,7 +32,7 @@ def test_stages_keep_columns_and_clean_documents(spark):
 def test_columns_of_the_user_and_empty_tables(spark):
     """Names that stages use themselves survive with their values, and an empty table passes through all stages."""
     own = ("base", "found", "__key", "row", "term", "n", "count", "rate", "lang_pred", "score", "component_id", "kept")
-    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 3000")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 1500")
     more = docs.selectExpr("*", *[f"'{c}' AS `{c}`" for c in own]).cache()
     for first in (more, more.where("false")):
         got = first
