@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from telemetry_ops.functions.session import stage
-from telemetry_ops.grid import METRICS, TARGET
+from telemetry_ops.grid import FEATURES, METRICS, TARGET
 from telemetry_ops.operators import entity_models, labels, models, ordinal, partitions
 from telemetry_ops.plans.registry import query
 from telemetry_ops.plans.scoring import _ap, _auc, _losses, rounded
@@ -56,6 +56,29 @@ def calibrate(t):
     return _scored(t, "logistic").where("candidate = 'logistic_sigmoid'")
 
 
+_FORECAST = """f AS (SELECT m.partition, CAST(l.error_rate__mean >= 0.2 AS BIGINT) AS y
+    FROM modelling_rows AS m JOIN modelling_rows AS l ON l.run_id = m.run_id AND l.service_id = m.service_id
+      AND l.timestamp = m.timestamp + INTERVAL 5 HOUR)"""
+
+
+@query(
+    "logistic_optimum",
+    f"""WITH {_FORECAST} SELECT 'logistic_raw' AS candidate, count(*) AS rows, CAST(sum(y) AS BIGINT) AS positives, TRUE AS optimal
+        FROM f WHERE partition = 'train'
+        UNION ALL SELECT 'logistic_sigmoid', count(*), CAST(sum(y) AS BIGINT), TRUE FROM f WHERE partition = 'calibration'""",
+)
+def logistic_optimum(t):
+    """Weights of the fitted model and of its sigmoid map are optima: slopes recomputed from the rows are below 0.0001."""
+    rows = _forecast_rows(t)
+    fitted = _fit(rows, "logistic")
+    sigmoid = fitted["logistic_sigmoid"]
+    raw = models.logistic_gap(rows.where("partition = 'train'"), fitted["logistic_raw"])
+    held = fitted["logistic_raw"].score(rows.where("partition = 'calibration'").select(*FEATURES, TARGET))
+    parts = (("logistic_raw", raw), ("logistic_sigmoid", models.calibration_gap(held, sigmoid.slope, sigmoid.intercept)))
+    found = [df.select(F.lit(n).alias("candidate"), "rows", "positives", (F.col("gap") < 1e-4).alias("optimal")) for n, df in parts]
+    return found[0].unionByName(found[1])
+
+
 # -- ordinal study --------------------------------------------------------------------------------
 
 
