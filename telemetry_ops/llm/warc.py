@@ -260,10 +260,14 @@ def _answers(pages: DataFrame, least_bytes: int) -> DataFrame:
 def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from a bounded sample of records, or nothing where the sample is too small for one.
 
-    The sample is that of the ``SAMPLE`` smallest row hashes, and so does not depend on how rows lie in files.
+    The sample is that of the ``SAMPLE`` smallest row hashes, and so does not depend on how rows lie in files. Rows are
+    counted first, and only hashes below a bound that lets about twice the sample through are sent on: otherwise
+    every task would send as many rows as the whole sample has.
     """
     rows = pages.select("page_id", "url", F.col("html").substr(1, SAMPLE_CHARS).alias("html"))
-    some = rows.orderBy(F.xxhash64("page_id", "url", "html"), "page_id").limit(SAMPLE).collect()
+    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("page_id", "url", "html"), 2))
+    share = min(1.0, (2.0 * SAMPLE + 100) / max(1, pages.count()))
+    some = rows.where(F.col("h") <= int(share * float(1 << 62))).orderBy("h", "page_id").limit(SAMPLE).collect()
     texts = [make_record(r["page_id"], r["url"], (r["html"] or "").encode("utf-8", "replace"), None, False, "") for r in some]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes() if len(texts) > 7 else b""
