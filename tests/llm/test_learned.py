@@ -63,32 +63,75 @@ def test_brown_counts_and_gain(docs, rows):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_exchange_raises_the_likelihood():
+def test_gains_equal_brute_force():
     rng = np.random.default_rng(1)
-    size = 60
-    kinds = np.arange(size) % 3
-    pairs = np.array([[80 if (kinds[i] + 1) % 3 == kinds[j] else 1 for j in range(size)] for i in range(size)], float)
-    old, brown_lm.CLASSES = brown_lm.CLASSES, 6
-    try:
-        classes = rng.integers(0, 6, size)
-
-        def likelihood(c):
-            g = np.zeros((6, 6))
-            for i in range(size):
-                np.add.at(g[c[i]], c, pairs[i])
-            return brown_lm._xlogx(g).sum() - brown_lm._xlogx(g.sum(1)).sum() - brown_lm._xlogx(g.sum(0)).sum()
-
-        before = likelihood(classes)
-        for _ in range(150):
-            after = np.stack([np.bincount(classes, weights=pairs[i], minlength=6) for i in range(size)])
-            left = np.stack([np.bincount(classes, weights=pairs[:, i], minlength=6) for i in range(size)])
-            new = brown_lm.exchange(classes, after, left, np.diag(pairs), 0.03, rng)
-            if (new != classes).sum() == 1:  # moves one at a time cannot do harm
-                assert likelihood(new) > likelihood(classes)
-            classes = new
-        assert likelihood(classes) > before + 0.8 * (likelihood(kinds) - before)
-    finally:
-        brown_lm.CLASSES = old
+    size, k = 40, 6
+    pairs = rng.integers(0, 4, (size, size)) * (rng.random((size, size)) < 0.3)
+    pairs[3, 3] = 9
+    classes = rng.integers(0, k, size)
+
+    def value(c):
+        g = np.zeros((k, k))
+        np.add.at(g, (np.repeat(c, size), np.tile(c, size)), pairs.ravel())
+        return g, brown_lm.likelihood(g)
+
+    grid, now = value(classes)
+    after = np.stack([np.bincount(classes, weights=pairs[i], minlength=k) for i in range(size)])
+    before = np.stack([np.bincount(classes, weights=pairs[:, i], minlength=k) for i in range(size)])
+    got = brown_lm.gains(grid, classes, after, before, np.diag(pairs).astype(float))
+    for u in range(size):
+        for b in range(k):
+            moved = classes.copy()
+            moved[u] = b
+            assert got[u, b] - got[u, classes[u]] == pytest.approx(value(moved)[1] - now, abs=1e-8)
+
+
+def test_every_word_is_clustered_and_scores_are_normalised(spark, monkeypatch):
+    rng = random.Random(4)
+    kinds = [[f"{kind}{i}" for i in range(60)] for kind in "abc"]
+    rows = []
+    for d in range(3000):
+        begin = rng.randrange(3)
+        rows.append((d, " ".join(rng.choice(kinds[(begin + i) % 3]) for i in range(rng.randrange(1, 30)))))
+    rows += [(9000, "neverseen a1 neverseen2 neverseen3"), (None, None), (9001, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    learnt = Counter(w for d, t in rows if fold(d, 7) != 2 for w in words(t))
+    for common in (brown_lm.COMMON, 60):  # most words are then placed and looked up in joins
+        monkeypatch.setattr(brown_lm, "COMMON", common)
+        model, lexicon = brown_lm.fit(brown_lm._texts(docs))
+        known = {w.decode(): (int(model.counts[i]), int(model.classes[i])) for w, i in model.place.items()}
+        known |= {bytes(r["word"]).decode(): (r["n"], r["class"]) for r in lexicon.collect()}
+        assert {w: n for w, (n, _) in known.items()} == learnt and all(0 <= c < brown_lm.CLASSES for _, c in known.values())
+        assert len(model.history) > 1 and all(a < b for a, b in zip(model.history, model.history[1:]))
+        if common > len(learnt):
+            whole = np.zeros((brown_lm.CLASSES + 1, brown_lm.CLASSES + 1))
+            for d, t in rows:
+                if fold(d, 7) != 2:
+                    path = [brown_lm.CLASSES, *(known[w][1] for w in words(t)), brown_lm.CLASSES]
+                    np.add.at(whole, (path[:-1], path[1:]), 1)
+            assert brown_lm.likelihood(whole) == pytest.approx(model.history[-1])
+        # After any class: all words, one unseen word of each class, and the end.
+        inside = np.zeros(brown_lm.CLASSES + 1)
+        for n, c in known.values():
+            inside[c] += (n + 1) / 10 ** model.mass[c]
+        inside[: brown_lm.CLASSES] += 10 ** -model.mass[: brown_lm.CLASSES]
+        inside[brown_lm.CLASSES] = 1.0
+        assert np.allclose((10**model.transitions) @ inside, 1.0)
+
+        def score(t):
+            total, before = 0.0, brown_lm.CLASSES
+            for w in words(t):
+                n, c = known.get(w) or (0, int(model.endings[brown_lm.suffix(w.encode())]))
+                total += model.transitions[before, c] + math.log10(n + 1) - model.mass[c]
+                before = c
+            return total + model.transitions[before, brown_lm.CLASSES]
+
+        got = brown_lm.brown_scores(docs).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert r["score"] == pytest.approx(score(dict(rows)[r["doc_id"]]), abs=1e-6)
+        held = [r for r in got if r["held_out"]]
+        assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held) + 0.1 * sum(r["n_tokens"] for r in held)
 
 
 def test_language_held_out(docs, rows):
