@@ -1,131 +1,213 @@
-"""Toxicity by a support vector machine on a gappy subsequence kernel with Nystroem landmarks.
-
-The kernel of two words sums, over all subsequences of three characters with up to two gaps, products of
-``DECAY ** gaps`` in both, and is normalised; an insult with gaps or inserted characters
-keeps most of its subsequences. Landmarks are words of labelled documents; a word's features are its kernels
-with the landmarks times the inverse root of the landmarks' own kernel matrix. A linear SVM is trained
-on words of labelled sentences, a sentence counting by its worst word (multiple instances), and a text
-by its worst sentence. Since the machine is linear in the kernels, a word's margin is a sum of one learnt weight
-per subsequence, looked up in a table.
+"""Toxicity by a support vector machine on a gappy subsequence kernel with Nystroem landmarks, taught by labelled sentences.
+
+A sentence is a run of words up to a sentence mark or a line end. The machine sees it as a bag of spans: each of its
+words, each ``SPAN`` words in a row, and the whole of it. The kernel of two spans sums, over all subsequences of three
+characters with up to two gaps that touch at most two neighbouring words, products of ``DECAY ** gaps`` in both,
+over the roots of both spans' own sums of squared decays; an insult with gaps or inserted characters
+keeps most of its subsequences. Features of a span are its kernels with landmark spans of labelled sentences times the
+inverse root of the landmarks' own kernel matrix. Labels belong to texts, so that the machine learns by multiple
+instances: each toxic text gives its most telling span, other texts give those that the machine before holds for worst,
+and a text counts by its worst span. Since the machine is linear in the kernels, a margin is a sum of one learnt weight
+per subsequence, looked up in a table for all characters of many texts at once.
 """
 
 from __future__ import annotations
 
-import re
+import math
 import unicodedata
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import lru_cache
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemetry_ops.functions.session import broadcast_if_small, stage
-from telemetry_ops.llm.text import column, fold, most_frequent, slices, small_batches, tidy
+from telemetry_ops.functions.session import broadcast_if_small
+from telemetry_ops.llm.text import column, fold, slices, small_batches, tidy
 
 DECAY = 0.6
 #: Characters of one kernel window; three of them, the first included, form a subsequence.
 REACH = 5
-PATTERNS = [(0, a, b) for a, b in combinations(range(1, REACH), 2)]
-WEIGHTS = np.array([DECAY ** (b - 2) for _, _, b in PATTERNS])
+PATTERNS = [(a, b) for a, b in combinations(range(1, REACH), 2)]
+WEIGHTS = [DECAY ** (b - 2) for _, b in PATTERNS]
 ALPHABET = 64
-#: Characters of a word that the kernel sees at a time; longer words are cut into overlapping parts.
-LONGEST, OVERLAP = 48, 16
-#: Words at most that become landmarks, and training instances of either kind.
+#: Character classes beyond letters, digits and other characters: the edge of a word, a line end, a sentence mark.
+EDGE, LINE, MARK = 61, 62, 63
+SENTENCE_MARKS = ".!?…。！？"
+#: Characters of a word that count as one; longer words are cut, and spans of several words see across the cuts.
+LONGEST = 48
+#: Words of the middle kind of span.
+SPAN = 3
+#: Labelled texts that spans are learnt from, at most: toxic and other ones, chosen by a hash, none longer than so many characters.
+TOXIC_TEXTS, OTHER_TEXTS, TEXT_CHARS = 1500, 2500, 20_000
+#: Spans at most that become landmarks, and training instances of either kind.
 LANDMARKS, INSTANCES = 384, 4000
-#: Rounds of training; each adds the negative words that the machine before ranks highest.
+#: Rounds of training; each adds the spans of other texts that the machine before holds for worst.
 ROUNDS = 5
-#: Different contexts in toxic documents that a word needs to be a positive instance: copies have the same.
-SUPPORT = 6
+#: Different neighbours in toxic texts that a telling span needs (copies have the same), and how many times its share
+#: of toxic texts is that of other texts.
+SUPPORT, RATIO = 6, 20.0
 #: Folds; fold ``HELD`` is never learnt from.
 FOLDS, HELD = 4, 2
 THRESHOLD = 0.3
 #: Margin of a text without words.
 NO_WORDS = -3.0
-REMEMBERED = 300_000
+SLICE = 1 << 20
 
 SCORED = "doc_id long, held_out boolean, score double, predicted int, worst string"
 
+_CLASS = np.zeros(0x110000, np.uint8)
+_ALNUM = np.zeros(0x110000, bool)
+
 
-@lru_cache(maxsize=1 << 16)
 def letter(code: int) -> int:
-    """1 to 26 for Latin letters without their marks, 27 to 36 for digits, else one of the other classes."""
-    c = unicodedata.normalize("NFKD", chr(code).lower())[0]
+    """1 to 26 for Latin letters without their marks, 27 to 36 for digits, 61 to 63 for spaces, line ends and sentence marks,
+    else one of the other classes."""
+    c = chr(code)
+    if c in "\n\r":
+        return LINE
+    if c.isspace():
+        return EDGE
+    if c in SENTENCE_MARKS:
+        return MARK
+    c = unicodedata.normalize("NFKD", c.lower())[0]
     if "a" <= c <= "z":
         return ord(c) - 96
     if "0" <= c <= "9":
         return ord(c) - 21
-    return 37 + ord(c) % 26
-
-
-def units(text: str) -> list[str]:
-    """Lower-cased words; words with other characters inside also without them, as ``b-a-d``, and runs of single
-    characters also together, as ``b a d``."""
-    words = text.lower().split()
-    words += [_OTHER.sub("", w) for w in words if not w.isalnum() and _INSIDE.search(w)]
-    run: list[str] = []
-    extra = []
-    for w in [*words, "  "]:
-        if len(w) == 1:
-            run.append(w)
-        else:
-            if len(run) > 2:
-                extra += ["".join(run[i : i + LONGEST]) for i in range(0, len(run), LONGEST - OVERLAP)]
-            run = []
-    return words + extra
-
-
-_OTHER, _INSIDE = re.compile(r"[\W_]+"), re.compile(r"[^\W_][\W_]+[^\W_]")
-
-
-def parts(word: str) -> list[str]:
-    if len(word) <= LONGEST:
-        return [word]
-    return [word[i : i + LONGEST] for i in range(0, len(word), LONGEST - OVERLAP)]
-
-
-def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Owner, code and weight of each subsequence; equal codes of one word are summed."""
-    padded = [f"\x02{w}\x03" for w in words]
-    size = np.array([len(w) for w in padded], np.int64)
-    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
-    known, inverse = np.unique(codes, return_inverse=True)
-    table = np.array([letter(int(c)) if c > 3 else 61 + int(c) - 2 for c in known], np.int64)
-    a = table[inverse] if len(codes) else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(words)), size)
-    keys, weights = [], []
-    for (_, i, j), weight in zip(PATTERNS, WEIGHTS):
-        m = max(0, len(a) - j)
-        inside = owner[:m] == owner[j:]
-        key = ((owner[:m] * ALPHABET + a[:m]) * ALPHABET + a[i : i + m]) * ALPHABET + a[j:]
-        keys.append(key[inside])
-        weights.append(np.full(int(inside.sum()), weight))
+    return 37 + ord(c) % 24
+
+
+def _classes(codes: np.ndarray) -> np.ndarray:
+    found = _CLASS[codes]
+    if not found.all():
+        for c in np.unique(codes[found == 0]).tolist():
+            _CLASS[c], _ALNUM[c] = letter(c), chr(c).isalnum()
+        found = _CLASS[codes]
+    return found
+
+
+class Layout:
+    """Words of many texts in one row: where they lie, whose they are and which sentence they belong to."""
+
+    def __init__(self, texts: list[str]):
+        self.whole = "\n" + "\n".join(texts) + "\n"
+        raw = np.frombuffer(self.whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = _classes(raw)
+        space = (kind == EDGE) | (kind == LINE)
+        inside = ~space
+        first = np.flatnonzero(inside[1:] & space[:-1]) + 1
+        last = np.flatnonzero(inside[:-1] & space[1:])
+        ends = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, np.int64)
+        text = np.searchsorted(ends, first - 1, "right")
+        lines = np.cumsum(kind == LINE)
+        closes = np.ones(len(first), bool)
+        closes[:-1] = (kind[last[:-1]] == MARK) | (lines[first[1:] - 1] > lines[last[:-1]])
+        # One edge before each word and one behind the last.
+        keep = inside.copy()
+        keep[first - 1] = True
+        self.codes = np.append(np.where(inside, kind, EDGE)[keep], EDGE).astype(np.int32)
+        begin = np.cumsum(keep)[first - 1] - 1 if len(first) else np.zeros(0, np.int64)
+        size = last - first + 1
+        if (size > LONGEST).any():
+            n = -(-size // LONGEST)
+            of = np.repeat(np.arange(len(first)), n)
+            part = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            begin = begin[of] + part * LONGEST + (part > 0)
+            closes = closes[of] & (part == n[of] - 1)
+            text, last = text[of], np.minimum(first[of] + (part + 1) * LONGEST - 1, last[of])
+            first = first[of] + part * LONGEST
+        self.raw, self.kind, self.begin, self.first, self.last, self.text, self.closes = raw, kind, begin, first, last, text, closes
+        self.words, self.texts = len(begin), len(texts)
+
+    def string(self, a: int, b: int) -> str:
+        """Words ``a`` to ``b``, as they are written."""
+        return self.whole[self.first[a] : self.last[b] + 1]
+
+    def reach(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each character, the distance to the end of its word and to that of the next word of its sentence."""
+        n = len(self.codes) - 1
+        stop = np.append(self.begin[1:], n)
+        after = np.where(self.closes, stop, np.append(stop[1:], n))
+        at = np.arange(n)
+        size = np.diff(np.append(self.begin, n))
+        return np.repeat(stop, size) - at, np.repeat(after, size) - at
+
+    def spans(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """First and last words of the spans of each kind: words, ``SPAN`` words, other whole sentences."""
+        every = np.arange(self.words)
+        yield every, every
+        sentence = np.cumsum(self.closes) - self.closes
+        a = every[: max(0, self.words - SPAN + 1)]
+        a = a[sentence[a] == sentence[a + SPAN - 1]]
+        yield a, a + SPAN - 1
+        last = np.flatnonzero(self.closes)
+        begin = np.append(0, last[:-1] + 1) if len(last) else last
+        size = last - begin + 1
+        some = (size > 1) & (size != SPAN)
+        yield begin[some], last[some]
+
+    def disguised(self) -> list[tuple[int, str]]:
+        """Text and letters of words with other characters inside, as ``b-a-d``, and of single characters in a row, as ``b a d``."""
+        out = []
+        if not self.words:
+            return out
+        alnum = _ALNUM[self.raw]
+        before = np.cumsum(alnum)
+        marked = np.flatnonzero(~alnum[:-1] & alnum[1:] & (self.kind[:-1] != EDGE) & (self.kind[:-1] != LINE))
+        if len(marked):
+            word = np.searchsorted(self.first, marked, "right") - 1
+            for k in np.unique(word[before[marked] > before[self.first[word] - 1]]).tolist():
+                out.append((int(self.text[k]), "".join(filter(str.isalnum, self.string(k, k)))))
+        single = np.append(self.first == self.last, False)
+        edge = np.diff(single.astype(np.int8), prepend=0)
+        for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
+            if b - a > 2:
+                runs = np.split(np.arange(a, b), np.flatnonzero(np.diff(self.text[a:b])) + 1)
+                out += [(int(self.text[r[0]]), "".join(self.whole[self.first[i]] for i in r.tolist())) for r in runs if len(r) > 2]
+        return out
+
+
+def _squares(distance: np.ndarray) -> np.ndarray:
+    """Sum of squared decays of the subsequences that begin at a character and end within a distance."""
+    table = np.array([sum(w * w for (_, b), w in zip(PATTERNS, WEIGHTS) if b <= d) for d in range(REACH)])
+    return table[np.clip(distance, 0, REACH - 1)]
+
+
+def subsequences(spans: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, code and weight of each subsequence, equal codes of one span summed, the span's weights divided by its norm."""
+    laid = Layout(spans)
+    n = len(laid.codes) - 1
+    near, far = laid.reach()
+    owner = np.repeat(laid.text, np.diff(np.append(laid.begin, n))).astype(np.int64)
+    keys, weights = [np.zeros(0, np.int64)], [np.zeros(0)]
+    c = laid.codes.astype(np.int64)
+    for (a, b), weight in zip(PATTERNS, WEIGHTS):
+        at = np.flatnonzero(far >= b)
+        keys.append(((owner[at] * ALPHABET + c[at]) * ALPHABET + c[at + a]) * ALPHABET + c[at + b])
+        weights.append(np.full(len(at), weight))
+    squares = np.bincount(owner, weights=_squares(far), minlength=len(spans))
     unique, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(inverse, weights=np.concatenate(weights), minlength=len(unique))
-    return unique // ALPHABET**3, unique % ALPHABET**3, total
-
-
-def norms(owner: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-    return np.sqrt(np.maximum(np.bincount(owner, weights=weight**2, minlength=n), 1e-12))
+    own = unique // ALPHABET**3
+    return own, unique % ALPHABET**3, total / np.sqrt(np.maximum(squares, 1e-12))[own]
 
 
-def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """Normalised kernel matrix."""
+def kernel(spans: list[str], landmarks: list[str]) -> np.ndarray:
     lo, lc, lw = subsequences(landmarks)
-    lw = lw / norms(lo, lw, len(landmarks))[lo]
     codes, at = np.unique(lc, return_inverse=True)
     table = np.zeros((len(codes), len(landmarks)))
     table[at, lo] = lw
-    wo, wc, ww = subsequences(words)
-    ww = ww / norms(wo, ww, len(words))[wo]
-    place = np.minimum(np.searchsorted(codes, wc), len(codes) - 1)
-    hit = codes[place] == wc
-    out = np.zeros((len(words), len(landmarks)))
-    np.add.at(out, wo[hit], table[place[hit]] * ww[hit][:, None])
+    out = np.zeros((len(spans), len(landmarks)))
+    for i in range(0, len(spans), 256):
+        part = spans[i : i + 256]
+        wo, wc, ww = subsequences(part)
+        place = np.minimum(np.searchsorted(codes, wc), len(codes) - 1)
+        hit = codes[place] == wc
+        np.add.at(out, i + wo[hit], table[place[hit]] * ww[hit][:, None])
     return out
 
 
@@ -133,57 +215,118 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
 class Machine:
     """Learnt weight per subsequence code, bias, and the sigmoid of margins."""
 
-    codes: np.ndarray
-    weights: np.ndarray
+    table: np.ndarray
     bias: float
-    slope: float
-    shift: float
-
-    def margins(self, words: list[str]) -> np.ndarray:
-        if not words:
-            return np.zeros(0)
-        pieces = [p for w in words for p in parts(w)]
-        o, c, w = subsequences(pieces)
-        place = np.minimum(np.searchsorted(self.codes, c), len(self.codes) - 1)
-        gain = np.where(self.codes[place] == c, self.weights[place], 0.0) * w
-        margin = np.bincount(o, weights=gain, minlength=len(pieces)) / norms(o, w, len(pieces)) + self.bias
-        if len(pieces) == len(words):
-            return margin
-        top = np.full(len(words), -np.inf)
-        np.maximum.at(top, np.repeat(np.arange(len(words)), [len(parts(w)) for w in words]), margin)
-        return top
+    slope: float = 1.0
+    shift: float = 0.0
+
+    def spans(self, laid: Layout) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """First word, last word and margin of the spans of each kind."""
+        if not laid.words:
+            return
+        near, far = laid.reach()
+        c, n = laid.codes, len(laid.codes) - 1
+        within, across = np.zeros(n, np.float32), np.zeros(n, np.float32)
+        for (a, b), weight in zip(PATTERNS, WEIGHTS):
+            m = n + 1 - b
+            gain = self.table[(c[:m] << 12) | (c[a : a + m] << 6) | c[b : b + m]] * np.float32(weight)
+            m = min(m, n)
+            whole = near[:m] >= b
+            within[:m] += gain[:m] * whole
+            across[:m] += gain[:m] * (~whole & (far[:m] >= b))
+        inner = _squares(near)
+        sums = [np.append(0.0, np.cumsum(np.add.reduceat(v, laid.begin, dtype=np.float64))) for v in (within, across, inner, _squares(far) - inner)]
+        for first, last in laid.spans():
+            gain = sums[0][last + 1] - sums[0][first] + sums[1][last] - sums[1][first]
+            size = sums[2][last + 1] - sums[2][first] + sums[3][last] - sums[3][first]
+            yield first, last, gain / np.sqrt(np.maximum(size, 1e-12)) + self.bias
+
+    def worst(self, texts: list[str]) -> tuple[np.ndarray, list[str | None]]:
+        """Margin and words of the worst span of each text, disguised words among them."""
+        laid = Layout(texts)
+        margin, found = np.full(len(texts), -np.inf), [None] * len(texts)
+        hidden = laid.disguised()
+        other = Layout([s for _, s in hidden])
+        owner = np.array([t for t, _ in hidden], np.int64)
+        for of, whose in ((laid, laid.text), (other, owner[other.text] if hidden else other.text)):
+            for first, last, value in self.spans(of):
+                if not len(first):
+                    continue
+                text = whose[first]
+                top = np.full(len(texts), -np.inf)
+                np.maximum.at(top, text, value)
+                better = top > margin
+                at = np.flatnonzero(better[text] & (value == top[text]))
+                for i, t in zip(at[::-1].tolist(), text[at[::-1]].tolist()):  # the first one of equal margins
+                    found[t] = (of, int(first[i]), int(last[i]))
+                margin = np.maximum(margin, top)
+        return np.where(np.isinf(margin), NO_WORDS, margin), [f and f[0].string(f[1], f[2]) for f in found]
 
     def score(self, margin: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40)))
 
 
-def train(positive: list[tuple[str, float]], negative: list[tuple[str, float]]) -> Machine:
-    """Fit on weighted words; without words of both kinds every text gets the same low score."""
+def train(positive: dict[str, float], negative: dict[str, float]) -> Machine:
+    """Fit on weighted spans; without spans of both kinds every text gets the same low score."""
     if not positive or not negative:
-        return Machine(np.zeros(1, np.int64), np.zeros(1), -1.0, 1.0, -2.0)
-    marks = list(dict.fromkeys([w for w, _ in positive[: LANDMARKS // 2]] + [w for w, _ in negative[: LANDMARKS // 2]]))
+        return Machine(np.zeros(ALPHABET**3, np.float32), -1.0, 1.0, -2.0)
+    spans = [*positive, *negative]
+    marks = list(dict.fromkeys([*list(positive)[: LANDMARKS // 2], *list(negative)[: LANDMARKS // 2]]))
     values, vectors = np.linalg.eigh(kernel(marks, marks))
     use = values > 1e-6 * values.max()
     root = vectors[:, use] / np.sqrt(values[use])  # Nystroem map: kernel with the landmarks, times this
-    words = [w for w, _ in positive] + [w for w, _ in negative]
-    x = kernel(words, marks) @ root
+    x = kernel(spans, marks) @ root
     y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-    mass = np.r_[[m for _, m in positive], [m for _, m in negative]]
+    mass = np.r_[list(positive.values()), list(negative.values())]
     mass = np.where(y > 0, mass / mass[y > 0].sum(), mass / mass[y < 0].sum())
     w, b = np.zeros(x.shape[1]), 0.0
     v, vb = w, b
     ridge = 1e-5
+    rate = 0.9 / max(1.0, np.linalg.eigvalsh(x.T @ (x * mass[:, None])).max() + 2.0)
     for step in range(1500):  # squared hinge loss, accelerated gradient descent
         slack = np.maximum(0, 1 - y * (x @ v + vb))
-        nw, nb = v - 0.2 * (ridge * v - x.T @ (mass * y * slack)), vb + 0.2 * (mass * y * slack).sum()
+        nw, nb = v - rate * (ridge * v - x.T @ (mass * y * slack)), vb + rate * (mass * y * slack).sum()
         k = step / (step + 3)
         v, vb = nw + k * (nw - w), nb + k * (nb - b)
         w, b = nw, nb
-    alpha = root @ w
     lo, lc, lw = subsequences(marks)
-    lw = lw / norms(lo, lw, len(marks))[lo]
-    codes, at = np.unique(lc, return_inverse=True)
-    return Machine(codes, np.bincount(at, weights=lw * alpha[lo]), float(b), 1.0, 0.0)
+    table = np.bincount(lc, weights=lw * (root @ w)[lo], minlength=ALPHABET**3)
+    return Machine(table.astype(np.float32), float(b))
+
+
+def _telling(toxic: list[str], other: list[str]) -> list[list[tuple[float, str]]]:
+    """Per toxic text, its telling spans with their evidence, best first; spans are lower-cased.
+
+    Neighbours are counted instead of texts where there are fewer of them, so that copies tell nothing.
+    """
+    def spans(text: str) -> Iterator[tuple[str, tuple[str, str]]]:
+        laid = Layout([text.lower()])
+        words = ["", *(laid.string(i, i) for i in range(laid.words)), ""]
+        for first, last in laid.spans():
+            for a, b in zip(first.tolist(), last.tolist()):
+                yield laid.string(a, b), (words[a], words[b + 2])
+        for _, s in laid.disguised():
+            yield s, ("", "")
+
+    # Most spans are those of one text: hashes tell which recur before any is kept.
+    hashes = [np.array(list({hash(s) for s, _ in spans(t)}), np.int64) for t in toxic]
+    known, count = np.unique(np.concatenate([np.zeros(0, np.int64), *hashes]), return_counts=True)
+    recur = set(known[count >= SUPPORT].tolist())
+    held = [{s: c for s, c in spans(t) if hash(s) in recur} for t in toxic]
+    texts, near = Counter(s for h in held for s in h), defaultdict(set)
+    for h in held:
+        for s, context in h.items():
+            if texts[s] >= SUPPORT:
+                near[s].add(context)
+    rest: Counter[str] = Counter()
+    for t in other:
+        rest.update({s for s, _ in spans(t) if s in near})
+    value = {}
+    for s, contexts in near.items():
+        own, others = (texts[s] + 0.5) / (len(toxic) + 1), (rest[s] + 0.5) / (len(other) + 1)
+        if len(contexts) >= SUPPORT and own >= RATIO * others:
+            value[s] = len(contexts) * math.log(own / others)
+    return [sorted(((value[s], s) for s in h if s in value), key=lambda v: (-v[0], v[1])) for h in held]
 
 
 def _calibrated(m: Machine, margin: np.ndarray, toxic: np.ndarray, count: np.ndarray) -> Machine:
@@ -200,104 +343,61 @@ def _calibrated(m: Machine, margin: np.ndarray, toxic: np.ndarray, count: np.nda
         step = np.linalg.solve(h, g)
         step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
         a, b = a - step[0], b - step[1]
-    return Machine(m.codes, m.weights, m.bias, float(a), float(b)) if a > 0 else m
-
-
-def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per slice, the words with the numbers of toxic and of other documents that hold them."""
-    for batch in batches:
-        for piece in slices(batch, "text"):
-            pos, neg = {}, {}
-            for t, toxic in zip(column(piece, "text"), column(piece, "toxic")):
-                into = pos if toxic else neg
-                for w in set(units((t or b"").decode("utf-8", "replace"))):
-                    into[w] = into.get(w, 0) + 1
-            words = list(pos.keys() | neg.keys())
-            yield pa.record_batch(
-                [pa.array(words, pa.string()), pa.array([pos.get(w, 0) for w in words], pa.int64()), pa.array([neg.get(w, 0) for w in words], pa.int64())],
-                ["word", "toxic", "other"],
-            )
+    return replace(m, slope=float(a), shift=float(b)) if a > 0 else m
 
 
 def _worst(machine: Machine, extra: tuple[str, ...]):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
         for batch in batches:
-            for piece in slices(batch, "text"):
-                if len(known) > REMEMBERED:
-                    known.clear()
-                texts = [units((t or b"").decode("utf-8", "replace")) for t in column(piece, "text")]
-                new = list({w for ws in texts for w in ws if w not in known})
-                for i in range(0, len(new), 20_000):
-                    part = new[i : i + 20_000]
-                    known.update(zip(part, machine.margins(part).tolist()))
-                top, margin = [], []
-                for ws in texts:
-                    values = [known[w] for w in ws]
-                    margin.append(max(values, default=NO_WORDS))
-                    top.append(ws[values.index(margin[-1])] if ws else None)
+            for piece in slices(batch, "text", SLICE):
+                margin, worst = machine.worst([(t or b"").decode("utf-8", "replace") for t in column(piece, "text")])
                 yield pa.record_batch(
-                    [*(piece.column(piece.schema.get_field_index(c)) for c in extra), pa.array(margin, pa.float64()), pa.array(top, pa.string())],
+                    [*(piece.column(piece.schema.get_field_index(c)) for c in extra), pa.array(margin, pa.float64()), pa.array(worst, pa.string())],
                     [*extra, "margin", "worst"],
                 )
 
     return run
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words of each text with a hash of their neighbours."""
-    for batch in batches:
-        for piece in slices(batch, "text"):
-            found = set()
-            for t in column(piece, "text"):
-                ws = units((t or b"").decode("utf-8", "replace"))
-                found.update(zip(ws, zip(["", *ws], [*ws[1:], ""])))
-            words = [w for w, _ in found]
-            near = pd.util.hash_array(np.array([f"{a} {b}" for _, (a, b) in found], dtype=object), categorize=False)
-            yield pa.record_batch([pa.array(words, pa.string()), pa.array(near.view(np.int64))], ["word", "context"])
-
-
-def _margins(machine: Machine):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            margin = machine.margins(column(batch, "word"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(margin)], [*batch.schema.names, "margin"])
-
-    return run
-
-
 def fit(docs: DataFrame, labels: DataFrame) -> Machine:
     """Learn from labelled documents outside the held fold.
 
-    Words are counted over all of them; the driver gets at most ``INSTANCES`` words of either kind: those
-    that mark toxic documents, most contexts first, and others, half of them the most frequent, half
-    those that the machine of the round before ranks highest among all words.
+    The driver gets a bounded sample of them, equal texts once, and the worst spans of other documents, which each round
+    looks for in all of them.
     """
     marked = labels.where("toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     marked = broadcast_if_small(marked, marked.count(), 16)
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     learn = rows.where(fold(F.col("doc_id"), FOLDS) != HELD).join(marked, "doc_id").select("text", "toxic")
-    contexts = (
-        learn.where("toxic = 1").select("text").mapInArrow(_contexts, "word string, context long").distinct()
-        .groupBy("word").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= SUPPORT)
-    )
-    counts = learn.mapInArrow(_distinct_words, "word string, toxic long, other long")
-    counts = counts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    share = (F.col("toxic") / (F.col("toxic") + F.col("other"))).alias("share")
-    words = stage(counts.join(contexts, "word", "left").select("word", "contexts", "other", share), "toxic-words")
-    found = most_frequent(words.where("contexts is not null and share >= 0.8"), "word", "contexts", INSTANCES)
-    rest = words.where("share < 0.5 and other >= 2")
-    common = most_frequent(rest, "word", "other", INSTANCES // 2)
-    positive = list(zip(found["word"], found["contexts"].astype(float)))
-    negative = dict(zip(common["word"], np.sqrt(common["other"])))
-    machine = train(positive, list(negative.items()))
+    short = learn.where(f"text is not null and octet_length(text) <= {TEXT_CHARS}").withColumn("h", F.xxhash64("text"))
+    taken = [
+        short.where(f"toxic = {k}").groupBy("h").agg(F.first("text").alias("text")).orderBy("h").limit(n).toPandas()["text"]
+        for k, n in ((1, TOXIC_TEXTS), (0, OTHER_TEXTS))
+    ]
+    toxic, other = ([bytes(t).decode("utf-8", "replace") for t in texts] for texts in taken)
+    telling = _telling(toxic, other)
+    chosen = Counter(t[0][1] for t in telling if t)
+    positive = {s: math.sqrt(n) for s, n in chosen.most_common(INSTANCES)}
+    plain: Counter[str] = Counter()
+    for text in other[: INSTANCES // 8]:
+        laid = Layout([text.lower()])
+        for (first, last), n in zip(laid.spans(), (24, 8, 2)):
+            plain.update(laid.string(int(first[i]), int(last[i])) for i in np.linspace(0, len(first) - 1, min(n, len(first))).astype(int))
+    negative = {s: math.sqrt(n) for s, n in plain.most_common(INSTANCES) if s not in positive}
+    machine = train(positive, negative)
     for _ in range(ROUNDS - 1 if positive else 0):
-        scored = rest.select("word", "other").mapInArrow(_margins(machine), "word string, other long, margin double")
-        hard = scored.orderBy(F.desc("margin"), "word").limit(INSTANCES // 4).toPandas()
-        # Hard words first: the first ones are landmarks.
-        negative = dict(zip(hard["word"], np.sqrt(hard["other"]))) | negative
-        machine = train(positive, list(negative.items()))
+        scored = learn.where("toxic = 0").select("text").mapInArrow(_worst(machine, ()), "margin double, worst string").where("worst is not null")
+        hard = scored.groupBy(F.lower("worst").alias("worst")).agg(F.max("margin").alias("margin"), F.count("*").alias("n"))
+        hard = hard.orderBy(F.desc("margin"), "worst").limit(INSTANCES // 8).toPandas()
+        # Hard spans first: the first ones are landmarks.
+        found = {s: math.sqrt(n) for s, n in zip(hard["worst"], hard["n"]) if s not in positive}
+        negative = found | {s: n for s, n in negative.items() if s not in found}
+        # A toxic text without a telling span gives its worst one, if the machine is sure of it.
+        silent = [t for t, known in zip(toxic, telling) if not known]
+        margin, worst = machine.worst(silent)
+        more = Counter(w.lower() for m, w in zip(margin, worst) if w and m > 0.5 and w.lower() not in negative)
+        machine = train(positive | {s: math.sqrt(n) for s, n in more.most_common(INSTANCES // 4) if s not in positive}, negative)
     worst = learn.mapInArrow(_worst(machine, ("toxic",)), "toxic int, margin double, worst string")
     cells = worst.groupBy(F.round("margin", 2).alias("margin")).agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")).toPandas()
     return _calibrated(machine, cells["margin"].to_numpy(float), cells["toxic"].to_numpy(float), cells["n"].to_numpy(float))
@@ -318,10 +418,11 @@ def _rows(machine: Machine):
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row of ``SCORED`` per document; ``worst`` is its most toxic word, null without words.
+    """One row of ``SCORED`` per document; ``worst`` is its most toxic span, null without words.
 
-    A null or empty text gets the score of no words, which is low. Inputs of a score are the text alone.
-    Repeated rows are scored again; labels of a repeated id all count.
+    A null or empty text gets the score of no words, which is low. Inputs of a score are the text alone; other columns,
+    whatever their names, are not read. Repeated rows are scored again; labels of a repeated id all count. A text of any
+    length is scored whole, in memory in proportion to it; of equal margins the first span is the worst.
     """
     machine = fit(docs, labels)
     rows = docs.select(

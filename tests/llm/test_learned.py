@@ -203,24 +203,43 @@ def test_certified_cutoffs_keep_their_risk():
 
 
 def test_kernel_equals_enumeration():
-    def phi(word):
-        w = [61, *map(string_kernel.letter, map(ord, word)), 62]
-        out = Counter()
-        for i in range(len(w)):
+    def phi(span):
+        c, word = [], []
+        for i, w in enumerate(span.split()):
+            c += [string_kernel.EDGE, *map(string_kernel.letter, map(ord, w))]
+            word += [i] * (len(w) + 1)
+        c.append(string_kernel.EDGE)
+        out, squares = Counter(), 0.0
+        for i in range(len(word)):
+            ends = max(j for j in range(len(word)) if word[j] <= word[i] + 1) + 1  # the edge behind the next word
             for a in range(1, string_kernel.REACH):
                 for b in range(a + 1, string_kernel.REACH):
-                    if i + b < len(w):
-                        out[(w[i], w[i + a], w[i + b])] += string_kernel.DECAY ** (b - 2)
-        return out
+                    if i + b <= ends:
+                        out[(c[i], c[i + a], c[i + b])] += string_kernel.DECAY ** (b - 2)
+                        squares += string_kernel.DECAY ** (2 * b - 4)
+        return {k: v / math.sqrt(squares) for k, v in out.items()}
 
-    ws = ["idiot", "i-d-i-o-t", "idiiot", "plain", "a", "éclair", "trash"]
+    ws = ["idiot", "i-d-i-o-t", "idiiot", "plain", "a", "éclair", "trash", "go away now", "a b c d", "no. yes"]
     got = string_kernel.kernel(ws, ws)
-    f = [phi(w.replace("é", "e")) for w in ws]
-    dot = lambda a, b: sum(v * b[k] for k, v in a.items())
+    f = [phi(w.replace("é", "e")) for w in ws[:-1]]
     for i, a in enumerate(f):
         for j, b in enumerate(f):
-            assert got[i, j] == pytest.approx(dot(a, b) / math.sqrt(dot(a, a) * dot(b, b)))
+            assert got[i, j] == pytest.approx(sum(v * b.get(k, 0) for k, v in a.items()))
     assert got[0, 2] > 0.6 > got[0, 3]
+    # Margins of all spans of many texts at once are those of the kernel.
+    machine = string_kernel.Machine(np.random.default_rng(0).normal(size=64**3).astype(np.float32), 0.25)
+    laid = string_kernel.Layout([*ws, "", "One two three four. Five\nsix  seven", " "])
+    seen = set()
+    for first, last, margin in machine.spans(laid):
+        for a, b, m in zip(first.tolist(), last.tolist(), margin.tolist()):
+            _, code, weight = string_kernel.subsequences([laid.string(a, b)])
+            assert m == pytest.approx((machine.table[code] * weight).sum() + 0.25, abs=1e-4)
+            seen.add(laid.string(a, b))
+    assert {"One two three four.", "two three four.", "Five", "six  seven"} <= seen and "four. Five" not in seen
+    long = "q" * 5000 + " bad"
+    assert string_kernel.Layout([long]).words == -(-5000 // string_kernel.LONGEST) + 1
+    assert [s for _, s in string_kernel.Layout(["x b-a-d y -z- c d e", "f"]).disguised()] == ["bad", "cde"]
+    assert machine.worst(["", " \n"])[1] == [None, None]
 
 
 def test_toxicity_finds_planted_insults(spark):
@@ -246,6 +265,28 @@ def test_toxicity_finds_planted_insults(spark):
     assert {r["predicted"] for r in none} == {0}
 
 
+def test_toxicity_learns_sentences_of_ordinary_words(spark):
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choices("aeinorstlm", k=rng.randrange(3, 9))) for _ in range(400)]
+    phrase = vocabulary[:3]
+    rows, marks = [], []
+    for i in range(1500):
+        w = rng.choices(vocabulary, k=rng.randrange(5, 60))  # each of the three words stands in other texts too
+        if i % 5 == 0:
+            at = rng.randrange(len(w))
+            w[at:at] = phrase
+        rows.append((i, " ".join(w), "x", 1.0))
+        marks.append((i, int(i % 5 == 0), 1))
+    rows += [(6000, " ".join(["plain"] * 60_000 + phrase), "x", 1.0), (6001, " plain plain ".join(phrase), "x", 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, worst string, margin double")
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int, quality int")
+    got = {r["doc_id"]: r["predicted"] for r in string_kernel.toxicity(docs, labels).collect()}
+    held = [i for i in range(1500) if fold(i, 4) == 2]
+    assert np.mean([got[i] for i in held if i % 5 == 0]) >= 0.9
+    assert np.mean([got[i] for i in held if i % 5]) <= 0.05
+    assert got[6000] == 1 and got[6001] == 0
+
+
 def test_rates_reach_their_targets(docs, labels, rows):
     documents = mixing.posteriors(docs, labels)
     rates, report = mixing.fit_rates(documents, {"good": 0.9, "poor": 0.06, "toxic": 0.04})
