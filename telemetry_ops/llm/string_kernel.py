@@ -55,7 +55,8 @@ FOLDS, HELD = 4, 2
 THRESHOLD = 0.3
 #: Margin of a text without words.
 NO_WORDS = -3.0
-SLICE = 1 << 20
+#: Bytes of text whose characters are looked up together, small enough for a processor's cache.
+SLICE = 1 << 18
 
 SCORED = "doc_id long, held_out boolean, score double, predicted int, worst string"
 
@@ -103,14 +104,14 @@ class Layout:
         last = np.flatnonzero(inside[:-1] & space[1:])
         ends = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, np.int64)
         text = np.searchsorted(ends, first - 1, "right")
-        lines = np.cumsum(kind == LINE)
+        lines = np.cumsum(kind == LINE, dtype=np.int32)
         closes = np.ones(len(first), bool)
         closes[:-1] = (kind[last[:-1]] == MARK) | (lines[first[1:] - 1] > lines[last[:-1]])
         # One edge before each word and one behind the last.
         keep = inside.copy()
         keep[first - 1] = True
         self.codes = np.append(np.where(inside, kind, EDGE)[keep], EDGE).astype(np.int32)
-        begin = np.cumsum(keep)[first - 1] - 1 if len(first) else np.zeros(0, np.int64)
+        begin = np.cumsum(keep, dtype=np.int32)[first - 1].astype(np.int64) - 1 if len(first) else np.zeros(0, np.int64)
         size = last - first + 1
         if (size > LONGEST).any():
             n = -(-size // LONGEST)
@@ -127,14 +128,25 @@ class Layout:
         """Words ``a`` to ``b``, as they are written."""
         return self.whole[self.first[a] : self.last[b] + 1]
 
+    def sizes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Characters of each word with the edge before it, and of the next word of its sentence (0: none)."""
+        size = np.diff(np.append(self.begin, len(self.codes) - 1))
+        return size, np.where(self.closes, 0, np.append(size[1:], 0))
+
     def reach(self) -> tuple[np.ndarray, np.ndarray]:
-        """Of each character, the distance to the end of its word and to that of the next word of its sentence."""
+        """Of each character, the distance to the end of its word and to that of the next word of its sentence,
+        both at most ``REACH``."""
         n = len(self.codes) - 1
-        stop = np.append(self.begin[1:], n)
-        after = np.where(self.closes, stop, np.append(stop[1:], n))
-        at = np.arange(n)
-        size = np.diff(np.append(self.begin, n))
-        return np.repeat(stop, size) - at, np.repeat(after, size) - at
+        near = np.full(n, REACH, np.int8)
+        size, after = self.sizes()
+        far = near.copy()
+        stop = self.begin + size
+        for d in range(1, REACH):
+            some = size >= d
+            at = stop[some] - d
+            near[at] = d
+            far[at] = np.minimum(after[some] + d, REACH)
+        return near, far
 
     def spans(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """First and last words of the spans of each kind: words, ``SPAN`` words, other whole sentences."""
@@ -156,7 +168,7 @@ class Layout:
         if not self.words:
             return out
         alnum = _ALNUM[self.raw]
-        before = np.cumsum(alnum)
+        before = np.cumsum(alnum, dtype=np.int32)
         marked = np.flatnonzero(~alnum[:-1] & alnum[1:] & (self.kind[:-1] != EDGE) & (self.kind[:-1] != LINE))
         if len(marked):
             word = np.searchsorted(self.first, marked, "right") - 1
@@ -171,10 +183,15 @@ class Layout:
         return out
 
 
-def _squares(distance: np.ndarray) -> np.ndarray:
-    """Sum of squared decays of the subsequences that begin at a character and end within a distance."""
-    table = np.array([sum(w * w for (_, b), w in zip(PATTERNS, WEIGHTS) if b <= d) for d in range(REACH)])
-    return table[np.clip(distance, 0, REACH - 1)]
+#: Sum of squared decays of the subsequences that begin within so many characters of an end.
+_SQUARES = np.cumsum([sum(w * w for (_, b), w in zip(PATTERNS, WEIGHTS) if b <= d) for d in range(2 * LONGEST + 3)])
+
+
+def _squares(laid: Layout) -> tuple[np.ndarray, np.ndarray]:
+    """Per word, sums of squared decays of the subsequences inside it, and of those that end in the next word."""
+    size, after = laid.sizes()
+    inside = _SQUARES[size]
+    return inside, np.where(after > 0, _SQUARES[size + after] - _SQUARES[after] - inside, 0.0)
 
 
 def subsequences(spans: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -189,7 +206,7 @@ def subsequences(spans: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = np.flatnonzero(far >= b)
         keys.append(((owner[at] * ALPHABET + c[at]) * ALPHABET + c[at + a]) * ALPHABET + c[at + b])
         weights.append(np.full(len(at), weight))
-    squares = np.bincount(owner, weights=_squares(far), minlength=len(spans))
+    squares = np.bincount(laid.text, weights=sum(_squares(laid)), minlength=len(spans))
     unique, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(inverse, weights=np.concatenate(weights), minlength=len(unique))
     own = unique // ALPHABET**3
@@ -226,16 +243,19 @@ class Machine:
             return
         near, far = laid.reach()
         c, n = laid.codes, len(laid.codes) - 1
-        within, across = np.zeros(n, np.float32), np.zeros(n, np.float32)
-        for (a, b), weight in zip(PATTERNS, WEIGHTS):
-            m = n + 1 - b
-            gain = self.table[(c[:m] << 12) | (c[a : a + m] << 6) | c[b : b + m]] * np.float32(weight)
-            m = min(m, n)
-            whole = near[:m] >= b
-            within[:m] += gain[:m] * whole
-            across[:m] += gain[:m] * (~whole & (far[:m] >= b))
-        inner = _squares(near)
-        sums = [np.append(0.0, np.cumsum(np.add.reduceat(v, laid.begin, dtype=np.float64))) for v in (within, across, inner, _squares(far) - inner)]
+        high, middle = c << 12, c << 6
+        tables = {b: self.table * np.float32(DECAY ** (b - 2)) for b in range(2, REACH)}
+        within, both = np.zeros(n, np.float32), np.zeros(n, np.float32)
+        for a, b in PATTERNS:
+            m = max(0, n + 1 - b)
+            at = high[:m] | middle[a : a + m]
+            at |= c[b : b + m]
+            gain = tables[b].take(at)
+            within[:m] += gain * (near[:m] >= b)
+            both[:m] += gain * (far[:m] >= b)
+        inner = np.add.reduceat(within, laid.begin)
+        inside, across = _squares(laid)
+        sums = [np.append(0.0, np.cumsum(v, dtype=np.float64)) for v in (inner, np.add.reduceat(both, laid.begin) - inner, inside, across)]
         for first, last in laid.spans():
             gain = sums[0][last + 1] - sums[0][first] + sums[1][last] - sums[1][first]
             size = sums[2][last + 1] - sums[2][first] + sums[3][last] - sums[3][first]
@@ -284,8 +304,9 @@ def train(positive: dict[str, float], negative: dict[str, float]) -> Machine:
     ridge = 1e-5
     rate = 0.9 / max(1.0, np.linalg.eigvalsh(x.T @ (x * mass[:, None])).max() + 2.0)
     for step in range(1500):  # squared hinge loss, accelerated gradient descent
-        slack = np.maximum(0, 1 - y * (x @ v + vb))
-        nw, nb = v - rate * (ridge * v - x.T @ (mass * y * slack)), vb + rate * (mass * y * slack).sum()
+        # Products this small are slower where a library splits them over threads.
+        slack = np.maximum(0, 1 - y * (np.einsum("ij,j->i", x, v) + vb))
+        nw, nb = v - rate * (ridge * v - np.einsum("ij,i->j", x, mass * y * slack)), vb + rate * (mass * y * slack).sum()
         k = step / (step + 3)
         v, vb = nw + k * (nw - w), nb + k * (nb - b)
         w, b = nw, nb
